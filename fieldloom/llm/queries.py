@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from fieldloom.llm.bpe import op10_bpe
 from fieldloom.llm.fingerprint import op9_fingerprint
+from fieldloom.llm.langid import op1_language
 from fieldloom.llm.sharding import op5_shard
 from fieldloom.llm.urlfilter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_language": op1_language,
     "op4_url_filter": op4_url_filter,
     "op5_shard": op5_shard,
     "op9_fingerprint": op9_fingerprint,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {"op4_url_filter": OP4_SQL}

@@ -10,28 +10,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: The dated list of op4 (day, kind, value, action, verdict). Domains hold for their subdomains.
+#: The dated list of op4 (day, kind, value, action, verdict). Domains hold for their subdomains; ``*``
+#: stands for each of the top-level domains com, net and org.
 LIST = """
-2024-01-01 domain cheap-pills.example.com add block
-2024-03-01 domain casino-win.example.org add block
-2024-02-10 domain free-bets.example.com add block
-2024-05-20 domain ads-track.example.org add block
-2024-01-15 domain spam-farm.example.org add block
-2024-07-01 domain spam-farm.example.org remove block
-2024-10-01 domain spam-farm.example.org add block
-2024-06-15 domain free-bets.example.com remove block
+2024-01-01 domain cheap-pills.example.* add block
+2024-03-01 domain casino-win.example.* add block
+2024-02-10 domain free-bets.example.* add block
+2024-05-20 domain ads-track.example.* add block
+2024-01-15 domain spam-farm.example.* add block
+2024-07-01 domain spam-farm.example.* remove block
+2024-10-01 domain spam-farm.example.* add block
+2024-06-15 domain free-bets.example.* remove block
+2024-06-16 domain free-bets.example.* add block
 2024-09-01 domain example.net add review
 2024-11-15 domain example.net remove review
 2024-08-01 prefix cheap-pills.example.com/en add allow
 2024-12-01 prefix cheap-pills.example.com/en remove allow
 2025-02-01 prefix ads-track.example.org/en add allow
-2025-03-01 domain ads-track.example.org remove block
-2025-03-01 domain ads-track.example.org add block
-2025-04-01 domain casino-win.example.org remove block
-2025-04-02 domain casino-win.example.org add block
+2025-03-01 domain ads-track.example.* remove block
+2025-03-01 domain ads-track.example.* add block
+2025-04-01 domain casino-win.example.* remove block
+2025-04-02 domain casino-win.example.* add block
 2025-06-01 domain example.org add review
 """
 
+
+def list_rows(text: str = LIST) -> list[list[str]]:
+    rows = [x.split() for x in text.split("\n") if x]
+    return [[*r[:2], r[2].replace("*", top), *r[3:]] for r in rows for top in (("com", "net", "org") if "*" in r[2] else ("",))]
+
+
 _URL = "^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 _PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
 
@@ -84,14 +92,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table has no capture time; a page's is taken as 2024-01-01 plus 37 * page_id mod 730 days."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     pages = pages.withColumn("fetched", F.expr("date_add(DATE'2024-01-01', CAST(pmod(page_id * 37, 730) AS INT))"))
-    rows = ", ".join("(DATE'{}', '{}', '{}', '{}', '{}')".format(*x.split()) for x in LIST.split("\n") if x)
+    rows = ", ".join("(DATE'{}', '{}', '{}', '{}', '{}')".format(*x) for x in list_rows())
     entries = spark.sql(f"SELECT * FROM VALUES {rows} AS t(day, kind, value, action, verdict)")
     return judge_urls(pages, entries)
 
 
 OP4_SQL = (
     "WITH log(day, kind, value, action, verdict) AS (VALUES "
-    + ", ".join("(DATE '{}', '{}', '{}', '{}', '{}')".format(*x.split()) for x in LIST.split("\n") if x)
+    + ", ".join("(DATE '{}', '{}', '{}', '{}', '{}')".format(*x) for x in list_rows())
     + r"""),
 one AS (SELECT *, row_number() OVER (PARTITION BY kind, value, day ORDER BY action, verdict DESC) AS n FROM log),
 spans AS (SELECT kind, value, verdict, action, day AS valid_from, lead(day) OVER (PARTITION BY kind, value ORDER BY day) AS valid_to FROM one WHERE n = 1),
