@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 SEGMENT = 256
 #: Characters of sample text per language, and the labelled rows they are drawn from. Bounds of the fit.
@@ -155,7 +156,7 @@ def identify(df: DataFrame, samples: dict[str, str], text: str = "text", lang_co
     held = df.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))  # bounded by SAMPLE_CHARS a language
     kept = [c for c in df.columns if c not in (lang_column, score_column)]
     source = df.select(*kept)
-    schema = source.schema.add(lang_column, "string").add(score_column, "double")
+    schema = StructType([*source.schema]).add(lang_column, "string").add(score_column, "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(held.value) if held.value else None
