@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 _WORD, _END = re.compile(r"[^\W_]+").findall, re.compile(r"[.!?\n]+").split
-#: Bounds of the fit: labelled rows per class, in hash order, and the words that occur in at least so many of them.
-SAMPLE_ROWS, LEAST_DOCS, MOST_WORDS = 2_000, 5, 50_000
+#: Bounds of the fit: labelled rows, in hash order (so classes keep their shares), and the words that occur in at least so many of them.
+SAMPLE_ROWS, LEAST_DOCS, MOST_WORDS = 4_000, 5, 50_000
 
 
 def sentences(text: str) -> list[str]:
@@ -42,8 +42,8 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [(int(i), float(p[i]), parts[i].strip()) for i in np.flatnonzero(p >= 0.5)]
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.5, l1: float = 0.004) -> Model:
-    """Proximal Adagrad on the mean log loss of the noisy-or, with both classes of equal weight."""
+def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, l1: float = 0.0005) -> Model:
+    """Proximal Adagrad on the mean log loss of the noisy-or."""
     bags = [[set(_WORD(s.lower())) for s in sentences(t or "")] for t, _ in rows]
     seen = Counter(w for bag in bags for w in set().union(*bag))
     words = sorted((w for w, n in seen.items() if n >= LEAST_DOCS), key=lambda w: (-seen[w], w))[:MOST_WORDS]
@@ -55,8 +55,8 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.5, l1:
     if not len(pairs) or y.min() == y.max():
         return Model(-40.0 if not len(y) or not y.max() else 0.0, {})
     sent, word = np.array(pairs, np.int64).T
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    w, b = np.zeros(len(words)), -5.0
+    share = 1 / len(rows)
+    w, b = np.zeros(len(words)), -6.0
     gw, gb = np.full(len(words), 1e-4), 1e-4
     for _ in range(rounds):
         z = np.bincount(sent, w[word], len(flat)) + b
@@ -75,16 +75,14 @@ def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.5, l1:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``rows`` labelled documents of each class, whole texts, chosen by the key's hash.
+    """A model from at most ``rows`` labelled documents, whole texts, chosen by the key's hash.
 
     Rows with a null key, text or label teach nothing. Without documents of both classes all scores are 0.
     """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
-    picked = []
-    for y in (0, 1):
-        some = marked.filter(F.col("y") == y).distinct().orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(rows)
-        picked += [r["k"] for r in some.select("k").collect()]
-    names = docs.sparkSession.createDataFrame([(k,) for k in picked], f"k {dict(docs.dtypes)[key]}")
+    some = marked.distinct().orderBy(F.xxhash64(F.col("k").cast("string")), "k", "y").limit(rows)
+    picked = {r["k"] for r in some.collect()}
+    names = docs.sparkSession.createDataFrame([(k,) for k in sorted(picked)], f"k {dict(docs.dtypes)[key]}")
     body = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(names.distinct()), "k").filter("t IS NOT NULL")
     both = body.join(F.broadcast(marked.join(F.broadcast(names.distinct()), "k").distinct()), "k").collect()
     return train([(t, y) for _, t, y in sorted({(r["k"], r["t"], r["y"]) for r in both})])
