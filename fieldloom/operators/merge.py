@@ -38,13 +38,13 @@ def merge_next(df: DataFrame, key: str, columns: list[str], nexts: int) -> DataF
     return out
 
 
-def sequence(df: DataFrame, doc: list[str], order: list[str], reset: Column | None = None, repeat: Column | None = None) -> Column:
-    """SEQ: the counter of a field occurrence; ``reset`` is the number to start from, ``repeat`` marks \\c."""
+def sequence(df: DataFrame, doc: list[str], order: list[str], name: str = "seq", reset: Column | None = None, repeat: Column | None = None) -> DataFrame:
+    """SEQ: adds the counter of a field occurrence; ``reset`` (\\r) is a number to start from or null, ``repeat`` marks \\c."""
     along = Window.partitionBy(*doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.coalesce(repeat, F.lit(False)), 0).otherwise(1) if repeat is not None else F.lit(1)
-    total = F.sum(step).over(along)
+    step = F.lit(1) if repeat is None else F.when(F.coalesce(repeat, F.lit(False)), 0).otherwise(1)
+    out = df.withColumn("_total", F.sum(step).over(along))
     if reset is None:
-        return total
-    at = F.last(F.when(reset.isNotNull(), F.struct(reset.alias("v"), F.lit(1).alias("k"))), True).over(along)
-    since = F.last(F.when(reset.isNotNull(), total), True).over(along)
-    return F.when(at.isNull(), total).otherwise(at["v"] + total - since)
+        return out.withColumnRenamed("_total", name)
+    out = out.withColumn("_start", F.last(F.when(reset.isNotNull(), F.struct(reset.alias("v"), F.col("_total").alias("t"))), True).over(along))
+    value = F.coalesce(F.col("_start.v") + F.col("_total") - F.col("_start.t"), F.col("_total"))
+    return out.withColumn(name, value.cast("long")).drop("_total", "_start")
