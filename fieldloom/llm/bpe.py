@@ -29,11 +29,11 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """Minimal perfect hash by hash and displace: n keys in n slots, buckets of about four keys placed largest first."""
+    """Minimal perfect hash by hash and displace: n keys in n slots, buckets of about three keys placed largest first."""
 
     def __init__(self, values: dict[bytes, int]):
         n = self.n = max(1, len(values))
-        self.buckets = n // 4 + 1
+        self.buckets = n // 3 + 1
         self.shift = [0] * self.buckets
         self.slots: list[tuple[bytes, int] | None] = [None] * n
         groups: dict[int, list[tuple[int, bytes]]] = {}
@@ -59,7 +59,8 @@ class PerfectHash:
                 self.slots[i] = (key, values[key])
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 20) + d * ((h >> 7) | 1) + d * d) % self.n
+        x = ((h ^ (d * 0x9E3779B97F4A7C15)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+        return (x >> 24) % self.n
 
     def get(self, key: bytes) -> int | None:
         h = xxhash.xxh3_64_intdigest(key)
