@@ -128,7 +128,8 @@ def _descend(df: DataFrame, start: bool) -> DataFrame:
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph."""
+    """A star for each component of the graph: (least vertex, vertex). Stars of the same members agree whichever pairs
+    they come from, so that repeated runs over a large group yield few different edges."""
     top = list(range(n))
 
     def root(x: int) -> int:
@@ -137,17 +138,16 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
             x = top[x]
         return x
 
-    out = []
     for i, j in zip(left.tolist(), right.tolist(), strict=True):
         a, b = root(i), root(j)
         if a != b:
             top[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    return [(root(x), x) for x in range(n) if root(x) != x]
 
 
 def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spanning edges of the pairs whose tokens agree often enough (four deviations below the threshold)."""
+    """Connecting edges of the pairs whose tokens agree often enough (four deviations below the threshold)."""
+    pdf = pdf.sort_values("id")
     ids, sig = pdf["id"].to_numpy(), np.stack([np.frombuffer(s, "<u4") for s in pdf["sig"]])
     least = TOKENS * SIMILAR - 4 * (TOKENS * SIMILAR * (1 - SIMILAR)) ** 0.5
     agree = np.zeros((len(ids), len(ids)), np.int16)
