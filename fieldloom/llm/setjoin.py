@@ -30,6 +30,8 @@ TOKENS, RUNS, FIRST, DEEPEST, SMALL, BLOCK = 64, 8, 3, 9, 64, 384
 _SPLIT = re.compile(r"\w+").findall
 _A = np.frombuffer(b"".join(xxhash.xxh3_64_digest(f"multiplier {i}") for i in range(TOKENS)), "<u8") | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Tokens that must agree: four deviations below the threshold.
+_LEAST = TOKENS * SIMILAR - 4 * (TOKENS * SIMILAR * (1 - SIMILAR)) ** 0.5
 
 
 def word_hashes(text: str, memo: dict[str, int]) -> np.ndarray:
@@ -149,14 +151,35 @@ def _likely(pdf: pd.DataFrame) -> pd.DataFrame:
     """Connecting edges of the pairs whose tokens agree often enough (four deviations below the threshold)."""
     pdf = pdf.sort_values("id")
     ids, sig = pdf["id"].to_numpy(), np.stack([np.frombuffer(s, "<u4") for s in pdf["sig"]])
-    least = TOKENS * SIMILAR - 4 * (TOKENS * SIMILAR * (1 - SIMILAR)) ** 0.5
     agree = np.zeros((len(ids), len(ids)), np.int16)
     for i in range(TOKENS):
         agree += sig[:, i, None] == sig[None, :, i]
-    edges = _forest(len(ids), *np.nonzero(np.triu(agree >= least, 1)))
+    edges = _forest(len(ids), *np.nonzero(np.triu(agree >= _LEAST, 1)))
     return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["u", "v"]).astype("int64")
 
 
+def _likely_small(df: DataFrame) -> DataFrame:
+    """The same edges for (node, id, sig) of nodes with at most SMALL members: a node is one row with the list of its
+    members, and an Arrow batch of nodes is worked off without a data frame for each."""
+    lists = df.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("id", "sig"))).alias("m")).select("m.id", "m.sig")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, u, v = np.cumsum([0, *(len(x) for x in batch.column("id"))]), [], []
+            ids = batch.column("id").flatten().to_numpy()
+            sig = np.frombuffer(b"".join(batch.column("sig").flatten().to_pylist()), "<u4").reshape(-1, TOKENS)
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                part = sig[lo:hi]
+                agree = (part[:, None, :] == part[None, :, :]).sum(2)
+                left, right = np.nonzero(np.triu(agree >= _LEAST, 1))
+                for i, j in _forest(hi - lo, left, right) if len(left) else ():
+                    u.append(ids[lo + i])
+                    v.append(ids[lo + j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return lists.mapInArrow(work, "u long, v long")
+
+
 def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
     """For a pair of blocks of a group: links of each member across the pair, and spanning edges (rows with a null)."""
     pdf = pdf.sort_values("id")
@@ -228,9 +251,11 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     for depth in range(FIRST, DEEPEST + 1):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n_group")).filter("n_group > 1")
         last = depth == DEEPEST
-        here = nodes.join(sizes if last else sizes.filter(f"n_group <= {SMALL}"), "node").join(reps, "id")
-        pairs = _block_pairs(here, "node", BLOCK).groupBy("node", "lo", "hi").applyInPandas(_likely, "u long, v long")
-        got = staged(pairs.distinct(), f"edges-{depth}")
+        got = _likely_small(nodes.join(sizes.filter(f"n_group <= {SMALL}"), "node").join(reps, "id").select("node", "id", "sig"))
+        if last:
+            large = nodes.join(sizes.filter(f"n_group > {SMALL}"), "node").join(reps, "id")
+            got = got.union(_block_pairs(large, "node", BLOCK).groupBy("node", "lo", "hi").applyInPandas(_likely, "u long, v long"))
+        got = staged(got.distinct(), f"edges-{depth}")
         found = got if found is None else found.union(got)
         if last:
             break
