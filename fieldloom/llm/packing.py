@@ -21,7 +21,7 @@ def n_tokens(text: Column) -> Column:
 def length_bin(n: Column) -> Column:
     k = F.floor(F.log2(F.greatest(n, F.lit(FINE)).cast("double") / FINE)).cast("int")
     width = F.pow(F.lit(2.0), k + 1).cast("long")
-    return F.when(n <= FINE, n).otherwise(k * 1_000_000 + F.floor(n / width)).cast("long")
+    return F.when(n <= FINE, n).otherwise((k + 1) * 1_000_000 + F.floor(n / width)).cast("long")
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:

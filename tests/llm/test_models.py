@@ -43,6 +43,20 @@ def test_boundaries_are_optimal():
         assert cost(packing.boundaries(lengths, counts, 3)) == best
 
 
+def test_packing_is_optimal_across_fine_lengths(spark):
+    """512..1023 and 1025..2047 words once shared their bins, the halves of the latter."""
+    rng = random.Random(2)
+    lengths = [515, 520, 600, 700, 1023, 1024, 1031, 1041, 1200, 1400, 2046, 2048, 2600, 4100]
+    counts = [rng.randint(1, 6) for _ in lengths]
+    texts = [t for n, c in zip(lengths, counts, strict=True) for t in ["w " * n] * c]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), buckets=4).collect()
+    cost = lambda cuts: sum(c * min(x for x in cuts if x >= n) for n, c in zip(lengths, counts, strict=True))
+    best = min(cost([*c, lengths[-1]]) for k in range(4) for c in itertools.combinations(lengths[:-1], k))
+    assert len(out) == len(texts) and sum(r.bucket_tokens for r in out) == best
+    one = spark.range(0, 9000).select(packing.length_bin(packing.F.col("id")).alias("b"), "id").groupBy("b").agg(packing.F.min("id").alias("lo"), packing.F.max("id").alias("hi"))
+    assert all(r.lo == r.hi if r.lo <= 1024 else r.hi - r.lo < r.lo / 256 for r in one.collect())
+
+
 def test_packing_whole_and_within_budget(spark, odd):
     out = packing.pack(odd, buckets=3, budget=4).collect()
     assert len(out) == len(ODD) and packing.pack(odd.limit(0)).collect() == []
