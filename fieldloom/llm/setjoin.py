@@ -5,7 +5,12 @@ embedded by MinHash into a fixed number of tokens, two sets sharing a token with
 similarity. A run splits the sets recursively: every node samples one or two of the token positions (1 / threshold on
 average) and a set goes to the child of each token it has there, so a pair at the threshold is expected to stay together
 once a level. Nodes with few sets are compared by brute force; the others are split further, down to ``DEEPEST``. What
-is still large there is compared block by block. ``RUNS`` independent runs bring the recall to the target.
+is still large there is compared block by block.
+
+Independent runs are repeated until the target recall holds. A pair survives fewer levels the deeper its nodes are split,
+so the number of runs follows from the depth (``runs_for``): sets that were in a large node of some run, and no others,
+get the further runs that the next level asks for. A pair that isn't in large nodes of a level together is settled at
+that level or above in each of the runs that level asks for, so its chance to be missed is that level's at most.
 
 Runs need only find one path of links between the members of a connected group: each group is then compared exactly,
 on whole shingle sets, in pairs of blocks, where links are counted without being written out. Groups are connected by
@@ -14,6 +19,8 @@ spanning edges, the blocks' results are summed, and groups that exact similarity
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,6 +34,8 @@ from fieldloom.llm.shared import staged
 
 WORDS, SIMILAR = 5, 0.8
 TOKENS, RUNS, FIRST, DEEPEST, SMALL, BLOCK = 64, 8, 3, 9, 64, 384
+#: Recall of a pair at the threshold, at any depth. No depth has fewer than RUNS runs.
+TARGET = 0.995
 _SPLIT = re.compile(r"\w+").findall
 _A = np.frombuffer(b"".join(xxhash.xxh3_64_digest(f"multiplier {i}") for i in range(TOKENS)), "<u8") | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +84,27 @@ def children(node: int, sig: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(node.to_bytes(8, "little") + bytes([i]) + sig[i].tobytes()) for i in spots]
 
 
+def missed(depth: int, runs: int) -> float:
+    """Probability that ``runs`` runs of ``depth`` levels all miss a pair at the threshold, over the spread of its tokens."""
+    total, two = 0.0, 1 / SIMILAR - 1
+    for k in range(TOKENS + 1):
+        both = k * (k - 1) / (TOKENS * (TOKENS - 1))
+        one = 2 * (k / TOKENS - both)
+        lost = 0.0  # that no node below holds both
+        for _ in range(depth):
+            lost = (1 - two) * (1 - k / TOKENS + k / TOKENS * lost) + two * (1 - one - both + one * lost + both * lost**2)
+        total += math.comb(TOKENS, k) * SIMILAR**k * (1 - SIMILAR) ** (TOKENS - k) * (lost**runs if k >= _LEAST else 1)
+    return total
+
+
+@functools.cache
+def runs_for(depth: int, target: float) -> int:
+    for runs in range(RUNS, 400):
+        if missed(depth, runs) <= 1 - target:
+            return runs
+    raise ValueError(f"no recall of {target} with {TOKENS} tokens")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -110,17 +140,17 @@ def _with_text(df: DataFrame) -> DataFrame:
     return df.select("id", "text").mapInArrow(work, "id long, text string, a long, b long")
 
 
-def _descend(df: DataFrame, start: bool) -> DataFrame:
-    """From (id, sig) to the nodes of level FIRST of all runs, or from (node, id, sig) one level down."""
+def _descend(df: DataFrame, levels: int = 1, runs: range | None = None) -> DataFrame:
+    """From (id, sig) to the nodes ``levels`` below the roots of ``runs``, or from (node, id, sig) that far down."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, ids = batch.column("sig").to_pylist(), batch.column("id").to_pylist()
-            above = [[xxhash.xxh3_64_intdigest(f"run {r}") for r in range(RUNS)]] * len(ids) if start else [[x & (1 << 64) - 1] for x in batch.column("node").to_pylist()]
+            above = [[xxhash.xxh3_64_intdigest(f"run {r}") for r in runs]] * len(ids) if runs is not None else [[x & (1 << 64) - 1] for x in batch.column("node").to_pylist()]
             nodes, owner = [], []
             for i, s, at in zip(ids, sigs, above, strict=True):
                 sig = np.frombuffer(s, "<u4")
-                for _ in range(FIRST if start else 1):
+                for _ in range(levels):
                     at = [c for x in at for c in children(x, sig)]
                 nodes += map(_signed, at)
                 owner += [i] * len(at)
@@ -232,9 +262,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return label
 
 
-def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", target: float = TARGET) -> DataFrame:
     """One row per input row: ``key``, class_id, links, group_id, n_shingles.
 
+    ``target`` is the least probability to find a pair at the threshold that no other pairs connect.
+
     class_id is the least key among documents of equal shingle sets (copies, up to case and punctuation), links the
     number of *other classes* with a Jaccard similarity of at least 0.8, and group_id the least key of the connected
     group. Documents without a word (null, empty, punctuation) have no shingle, are a class of their own by key and have
@@ -246,7 +278,8 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     full = sets.filter("n > 0")
     classes = staged(full.groupBy("a", "b", "n").agg(F.min("id").alias("class_id"), F.first("sig").alias("sig")), "classes")
     reps = classes.select(F.col("a").alias("id"), "sig")  # inside, a class is named by half of its set's digest
-    nodes = staged(_descend(reps, True), "nodes")
+    runs = runs_for(FIRST, target)
+    nodes = staged(_descend(reps, FIRST, range(runs)), "nodes")
     found: DataFrame | None = None
     for depth in range(FIRST, DEEPEST + 1):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n_group")).filter("n_group > 1")
@@ -259,7 +292,12 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         found = got if found is None else found.union(got)
         if last:
             break
-        nodes = staged(_descend(nodes.join(sizes.filter(f"n_group > {SMALL}"), "node").join(reps, "id").select("node", "id", "sig"), False).distinct(), f"nodes-{depth}")
+        large = nodes.join(sizes.filter(f"n_group > {SMALL}"), "node")
+        below = _descend(large.join(reps, "id").select("node", "id", "sig"))
+        if (more := runs_for(depth + 1, target)) > runs:
+            below = below.union(_descend(large.select("id").distinct().join(reps, "id").select("id", "sig"), depth + 1, range(runs, more)))
+            runs = more
+        nodes = staged(below.distinct(), f"nodes-{depth}")
         if nodes.isEmpty():
             break
     near = components(found, "near")

@@ -120,6 +120,36 @@ def test_jaccard_join_against_all_pairs(spark):
     assert sum(links.values()) > 20
 
 
+def test_jaccard_join_recall_when_nodes_are_split_deeply(spark, monkeypatch):
+    """Pairs just above the threshold, all with one passage; without small nodes all are settled at the deepest level."""
+    monkeypatch.setattr(setjoin, "SMALL", 1)
+    part = lambda name, n: [f"{name}x{i}" for i in range(n)]
+    texts = [" ".join(part("all", 100) + part(f"pair{p}", 240) + part(f"own{p}of{k}", 42)) for p in range(400) for k in range(2)]
+    got = setjoin.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    a, b = (set(setjoin.shingles(t, {}).tolist()) for t in texts[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.805
+    mean = 400 * (1 - setjoin.TARGET)  # of pairs lost; three deviations above it are chance
+    assert len(got) == 800 and sum(r.links == 0 for r in got) / 2 <= mean + 3 * mean**0.5
+
+
+def test_runs_follow_from_depth_and_target():
+    for depth in range(setjoin.FIRST, setjoin.DEEPEST + 1):
+        for target in (0.9, 0.99, 0.999):
+            assert setjoin.missed(depth, setjoin.runs_for(depth, target)) <= 1 - target
+    rng, lost = np.random.default_rng(1), 0
+    for i in range(2000):
+        same = rng.random(setjoin.TOKENS) < setjoin.SIMILAR
+        x, y = np.arange(64, dtype="<u4"), np.where(same, np.arange(64), 99).astype("<u4")
+        found = False
+        for r in range(2):
+            at = {i * 10 + r}
+            for _ in range(5):
+                at = {c for n in at for c in set(setjoin.children(n, x)) & set(setjoin.children(n, y))}
+            found |= bool(at)
+        lost += not found
+    assert abs(lost / 2000 - setjoin.missed(5, 2)) < 0.04
+
+
 def test_bpe_like_tiktoken(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
