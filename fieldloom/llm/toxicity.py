@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. A logistic model scores each sentence by its distinct words, and the document's score
 is the noisy-or of its sentences: ``1 - prod(1 - p)``. Only documents have labels; the gradient of the noisy-or decides
-which of their sentences carry them. A proximal step (L1) keeps words without evidence at weight zero.
+which of their sentences carry them. A proximal step (L1) keeps words without evidence at weight zero; the words left
+are then fitted without the penalty, which would shrink their weights and the scores with them.
 """
 
 from __future__ import annotations
@@ -42,50 +43,99 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), [(int(i), float(p[i]), parts[i].strip()) for i in np.flatnonzero(p >= 0.5)]
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, l1: float = 0.0005) -> Model:
+class _Bags:
+    """Labelled documents as arrays: sentences by document, and the words of sentences."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        bags = [[set(_WORD(s.lower())) for s in sentences(t or "")] for t, _ in rows]
+        seen = Counter(w for bag in bags for w in set().union(*bag))
+        self.words = sorted((w for w, n in seen.items() if n >= LEAST_DOCS), key=lambda w: (-seen[w], w))[:MOST_WORDS]
+        at = {w: i for i, w in enumerate(self.words)}
+        self.owner = np.array([d for d, bag in enumerate(bags) for _ in bag], np.int64)
+        flat = [s for bag in bags for s in bag]
+        sent = np.fromiter((i for i, s in enumerate(flat) for w in s if w in at), np.int64)
+        self.pairs = np.stack([sent, np.fromiter((at[w] for s in flat for w in s if w in at), np.int64)], 1)
+        self.y = np.array([int(t) for _, t in rows])
+
+    def fit(self, used: np.ndarray, rounds: int, rate: float, l1: float) -> tuple[float, np.ndarray]:
+        """Bias and weights from the ``used`` documents. L1 picks the words; they are then fitted on without the penalty."""
+        y = self.y[used]
+        if not len(self.pairs) or not len(y) or y.min() == y.max():
+            return -40.0 if not len(y) or not y.max() else 0.0, np.zeros(len(self.words))
+        number = np.cumsum(used) - 1  # documents and sentences that aren't used are left out of the arrays
+        taken = used[self.owner]
+        owner, place = number[self.owner[taken]], np.cumsum(taken) - 1
+        sent, word = self.pairs[taken[self.pairs[:, 0]]].T
+        sent = place[sent]
+        b, w = _descent(y, owner, sent, word, -6.0, np.zeros(len(self.words)), rounds, rate, l1)
+        held = w[word] != 0
+        return _descent(y, owner, sent[held], word[held], b, w, rounds, rate, 0.0)
+
+    def scores(self, bias: float, w: np.ndarray) -> np.ndarray:
+        z = np.bincount(self.pairs[:, 0], w[self.pairs[:, 1]], len(self.owner)) + bias
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return -np.expm1(np.bincount(self.owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(self.y)))
+
+
+def _descent(y: np.ndarray, owner: np.ndarray, sent: np.ndarray, word: np.ndarray, b: float, w: np.ndarray, rounds: int, rate: float, l1: float) -> tuple[float, np.ndarray]:
     """Proximal Adagrad on the mean log loss of the noisy-or."""
-    bags = [[set(_WORD(s.lower())) for s in sentences(t or "")] for t, _ in rows]
-    seen = Counter(w for bag in bags for w in set().union(*bag))
-    words = sorted((w for w, n in seen.items() if n >= LEAST_DOCS), key=lambda w: (-seen[w], w))[:MOST_WORDS]
-    at = {w: i for i, w in enumerate(words)}
-    owner = np.array([d for d, bag in enumerate(bags) for _ in bag], np.int64)
-    flat = [s for bag in bags for s in bag]
-    pairs = [(i, at[w]) for i, s in enumerate(flat) for w in s if w in at]
-    y = np.array([int(t) for _, t in rows])
-    if not len(pairs) or y.min() == y.max():
-        return Model(-40.0 if not len(y) or not y.max() else 0.0, {})
-    sent, word = np.array(pairs, np.int64).T
-    share = 1 / len(rows)
-    w, b = np.zeros(len(words)), -6.0
-    gw, gb = np.full(len(words), 1e-4), 1e-4
+    share = 1 / len(y)
+    gw, gb = np.full(len(w), 1e-4), 1e-4
     for _ in range(rounds):
-        z = np.bincount(sent, w[word], len(flat)) + b
+        z = np.bincount(sent, w[word], len(owner)) + b
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -40, 40))), 1e-12, 1 - 1e-12)
-        miss = np.exp(np.bincount(owner, np.log1p(-p), len(rows)))
+        miss = np.exp(np.bincount(owner, np.log1p(-p), len(y)))
         d = np.where(y == 1, -miss / np.maximum(1 - miss, 1e-9), 1.0) * share
         gz = p * d[owner]
-        g, g0 = np.bincount(word, gz[sent], len(words)), gz.sum()
+        g, g0 = np.bincount(word, gz[sent], len(w)), gz.sum()
         gw += g * g
         gb += g0 * g0
         step = rate / np.sqrt(gw)
-        w -= step * g
+        w = w - step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         b -= rate / np.sqrt(gb) * g0
-    return Model(float(b), {words[i]: float(w[i]) for i in np.flatnonzero(w)})
-
+    return float(b), w
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``rows`` labelled documents, whole texts, chosen by the key's hash.
 
-    Rows with a null key, text or label teach nothing. Without documents of both classes all scores are 0.
-    """
+def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, l1: float = 0.0005) -> Model:
+    bags = _Bags(rows)
+    bias, w = bags.fit(np.ones(len(rows), bool), rounds, rate, l1)
+    return Model(bias, {bags.words[i]: float(w[i]) for i in np.flatnonzero(w)})
+
+
+def threshold(rows: list[tuple[str, int]], folds: int = 3, most: float = 0.7, rounds: int = 300, rate: float = 0.5, l1: float = 0.0005) -> float:
+    """The score, ``most`` at most, from which a document counts as toxic with the fewest errors on documents that the
+    model hasn't seen: each fold of ``rows`` is scored by a model of the others. Of equal choices the highest."""
+    bags = _Bags(rows)
+    if len(rows) < folds or bags.y.min() == bags.y.max():
+        return most
+    fold, score = np.arange(len(rows)) % folds, np.zeros(len(rows))
+    for k in range(folds):
+        score[fold == k] = bags.scores(*bags.fit(fold != k, rounds, rate, l1))[fold == k]
+    order = np.argsort(-score, kind="stable")
+    s, gain = score[order], np.cumsum(np.where(bags.y[order] == 1, 1, -1))
+    ends = np.flatnonzero(np.append(s[1:] < s[:-1], True))
+    i = ends[gain[ends].argmax()]
+    if gain[i] <= 0:
+        return most
+    return float(min(most, (s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled documents, whole texts, chosen by the key's hash. Rows with a null key, text or label
+    teach nothing."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
     some = marked.distinct().orderBy(F.xxhash64(F.col("k").cast("string")), "k", "y").limit(rows)
     picked = {r["k"] for r in some.collect()}
     names = docs.sparkSession.createDataFrame([(k,) for k in sorted(picked)], f"k {dict(docs.dtypes)[key]}")
     body = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(names.distinct()), "k").filter("t IS NOT NULL")
     both = body.join(F.broadcast(marked.join(F.broadcast(names.distinct()), "k").distinct()), "k").collect()
-    return train([(t, y) for _, t, y in sorted({(r["k"], r["t"], r["y"]) for r in both})])
+    return [(t, y) for _, t, y in sorted({(r["k"], r["t"], r["y"]) for r in both})]
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+    """A model of the ``labelled`` documents. Without documents of both classes all scores are 0."""
+    return train(labelled(docs, labels, key, text, label, rows))
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text", score: str = "score", found: str = "offending") -> DataFrame:

@@ -3,11 +3,15 @@
 import hashlib
 import itertools
 import random
+import re
+import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, langid, mtree, packing, setjoin, toxicity, warc
 
@@ -89,6 +93,25 @@ def test_toxic_sentences_are_found(spark, odd):
     assert toxicity.train([]).score("x")[0] < 0.01
 
 
+def test_plain_insults_held_out_score_high():
+    """L1 shrank the weights of the very words it kept: 14 of these 75 documents were below 0.7."""
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id").dropna(subset=["text", "toxic"])
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in docs.doc_id])
+    model = toxicity.train(list(zip(docs.text[~held], docs.toxic[~held].astype(int), strict=True)))
+    insults = set("trash stupid idiot pathetic scum loser moron worthless disgusting clown".split())
+    bad = [t for t, y in zip(docs.text[held], docs.toxic[held], strict=True) if y == 1 and insults & set(re.findall(r"\w+", t.lower()))]
+    assert len(bad) == 75 and sum(model.score(t)[0] < 0.7 for t in bad) <= 5
+    clean = [model.score(t)[0] for t, y in zip(docs.text[held], docs.toxic[held], strict=True) if y == 0]
+    assert np.mean(np.array(clean) >= 0.7) < 0.005
+
+
+def test_threshold_comes_from_unseen_documents():
+    rows = [(f"plain words here {i}. more of it {i % 7}. the end", 0) for i in range(150)] + [(f"plain words {i}. you idiot {i}. the end", 1) for i in range(100)]
+    model, at = toxicity.train(rows), toxicity.threshold(rows)
+    assert 0 < at <= 0.7 and all((model.score(t)[0] >= at) == y for t, y in rows)
+    assert toxicity.threshold([]) == toxicity.threshold(rows[:150]) == 0.7
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "same"), (2, "http://b/\r\nX-Page-Id: 9", "same"), (3, None, None), (4, "u", ""), (5, "u", "é\r\n\r\n" * 40_000), (5, "u", "é\r\n\r\n" * 40_000), (None, "u", "same")]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, offset int")
