@@ -3,8 +3,8 @@
 For each language a bounded sample of labelled text is turned into a suffix automaton. A text is parsed greedily into
 the longest phrases that occur in the sample: it follows the automaton's transitions as long as there are any, then a
 phrase ends and the next one starts. The better a sample matches, the longer the matches and the fewer the phrases;
-``phrases * log2(sample length) / text length`` estimates the cross entropy in bits a character, and the language
-with the least wins.
+``phrases * log2(length of the longest sample) / text length`` estimates the cross entropy in bits a character, and the
+language with the least wins.
 
 Texts are lower-cased; every run of characters that aren't letters is one space. Parsing starts afresh every
 ``SEGMENT`` characters, so that all segments of all texts of an Arrow batch step through the automata side by side as
@@ -86,7 +86,8 @@ class Parser:
         self.width = len(seen) + 2
         self.code = np.ones(0x110000, np.uint8 if self.width < 256 else np.uint16)
         self.code[seen] = np.arange(2, self.width)
-        self.bits = np.array([np.log2(max(2, len(points[k]))) for k in self.langs])
+        # Of the longest sample for all: by its own length, a language with hardly any text would pay next to nothing.
+        self.bits = np.log2(max(2, *map(len, points.values()), 2))
         self.tables = []
         for k in self.langs:
             move = suffix_automaton(self.code[points[k]].tolist())

@@ -37,6 +37,14 @@ def test_language_odd_rows(spark, odd):
     assert langid.identify(odd.limit(0), {"en": "word"}).collect() == [] and {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_language_with_one_labelled_word_wins_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    samples = langid.learn_samples(docs.filter(~langid.held_out()))
+    texts = docs.filter(langid.held_out() & F.col("text").isNotNull()).orderBy("doc_id").select(F.substring("text", 1, 400).alias("text")).limit(60)
+    for word in ("ok", "thank"):
+        assert [r.lang_pred for r in langid.identify(texts, {**samples, "zz": word}).collect()].count("zz") <= 1
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(1)
     for _ in range(30):
