@@ -132,9 +132,8 @@ def parser_of(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
 
 
-def learn_samples(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, part: int = SAMPLE_PART, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Sample text per language from labelled rows: the first ``part`` characters of ``rows`` rows in hash order, cut at
-    ``chars`` in all. The same length for every language the table has enough of, so that no language has a head start."""
+def _picked(df: DataFrame, key: str, text: str, lang: str, rows: int, part: int) -> dict[str, list[str]]:
+    """The first ``part`` characters of ``rows`` labelled rows of each language, in hash order."""
     order = Window.partitionBy("lang").orderBy("h", "t")
     some = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     some = some.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.substring(text, 1, part).alias("t"))
@@ -142,19 +141,46 @@ def learn_samples(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     by: dict[str, list[tuple[int, str]]] = {}
     for r in picked.collect():
         by.setdefault(r["lang"], []).append((r["at"], r["t"]))
-    joined = {k: " ".join(t for _, t in sorted(v)) for k, v in by.items()}
-    joined = {k: t for k, t in joined.items() if any(c.isalpha() for c in t)}
-    return {k: t[:chars] for k, t in joined.items()}
+    return {k: [t for _, t in sorted(v)] for k, v in by.items()}
+
 
+def _joined(by: dict[str, list[str]], chars: int) -> dict[str, str]:
+    joined = {k: " ".join(v) for k, v in by.items()}
+    return {k: t[:chars] for k, t in joined.items() if any(c.isalpha() for c in t)}
 
-def identify(df: DataFrame, samples: dict[str, str], text: str = "text", lang_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
+
+def learn_samples(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, part: int = SAMPLE_PART, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Sample text per language from labelled rows: the first ``part`` characters of ``rows`` rows in hash order, cut at
+    ``chars`` in all. The same length for every language the table has enough of, so that no language has a head start."""
+    return _joined(_picked(df, key, text, lang, rows, part), chars)
+
+
+def usual_bits(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 2 * SAMPLE_ROWS, least: int = 5) -> dict[str, float]:
+    """Bits a character that text of each language may have: twice the median, or half more than the 99th percentile,
+    of labelled rows parsed against samples of other labelled rows. Without ``least`` such rows a language has no bound."""
+    by = _picked(df, key, text, lang, rows, SAMPLE_PART)
+    samples = _joined({k: v[::2] for k, v in by.items()}, SAMPLE_CHARS)
+    if not samples:
+        return {}
+    parser, out = Parser(samples), {}
+    for k, name in enumerate(parser.langs):
+        rates, sizes = parser.rates(by[name][1::2])
+        own = rates[(sizes > 0) & (rates.argmin(1) == k), k] if len(sizes) else sizes
+        if len(own) >= least:
+            out[name] = float(max(2 * np.median(own), 1.5 * np.quantile(own, 0.99)))
+    return out
+
+
+def identify(df: DataFrame, samples: dict[str, str], text: str = "text", lang_column: str = "lang_pred", score_column: str = "score", bounds: dict[str, float] | None = None) -> DataFrame:
     """The table with the predicted language of each whole text and a score from 0 to 1.
 
     The score is ``b / (a + b)`` for the bits a character of the best language a and the runner-up b (1 if there is but
     one language), so 0.5 is a tie; ties go to the first language by name. A text that is null or has no letter is
-    ``und`` with score 0. Columns of the two names are replaced.
+    ``und`` with score 0, and so is one whose bits a character lie above the winner's in ``bounds``, where two phrases
+    are free, as a short text has but few. Columns of the two names are replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))  # bounded by SAMPLE_CHARS a language
+    limit = bounds or {}
     kept = [c for c in df.columns if c not in (lang_column, score_column)]
     source = df.select(*kept)
     schema = StructType([*source.schema]).add(lang_column, "string").add(score_column, "double")
@@ -170,7 +196,7 @@ def identify(df: DataFrame, samples: dict[str, str], text: str = "text", lang_co
                 best = rates.argmin(1) if len(texts) else []
                 langs, scores = [], []
                 for i, k in enumerate(best):
-                    if not sizes[i]:
+                    if not sizes[i] or rates[i, k] - 2 * parser.bits / sizes[i] > limit.get(parser.langs[k], np.inf):
                         langs.append("und")
                         scores.append(0.0)
                         continue

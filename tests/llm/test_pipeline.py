@@ -45,3 +45,13 @@ def test_one_of_each_group_keeps_different_texts(spark):
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(((i, t) for i, t, _ in kept_rows(rows)), key=repr)
     assert corpus_pipeline.one_of_each_group(spark, docs.limit(0), "").collect() == []
+
+
+def test_language_stage_drops_noise_and_unknown_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(n)) for n in (60, 300, 1000)]
+    other = ["Zażółć gęślą jaźń oraz wiele innych polskich słów, które trudno jest wymówić bez przygotowania", "漢字だけの文章はここにあります。これは日本語です", "12 34", None]
+    odd = frame(spark, [(10**9 + i, t, None) for i, t in enumerate(noise + other)])
+    got = corpus_pipeline.keep_known_language(spark, docs.select(*odd.columns).union(odd), SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.filter("text rlike '\\\\p{L}'").collect())
