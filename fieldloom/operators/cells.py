@@ -1,4 +1,4 @@
-"""Table cells: range and directional aggregates, banding, merged cells, and tabular text."""
+"""Table cells: aggregate functions, directional sums, banding, and tabular text."""
 
 from __future__ import annotations
 

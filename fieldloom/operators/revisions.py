@@ -1,4 +1,4 @@
-"""Tracked changes as row views: accept, reject, and the event timeline."""
+"""Tracked changes as row views: accept, reject, and inline marks."""
 
 from __future__ import annotations
 
