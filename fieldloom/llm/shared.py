@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); where it is unset, as in tests, one of our own."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); where it is unset, one of our own if the master is
+    local, as in tests. Elsewhere that is an error, as executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(_OWN[app])
@@ -30,7 +33,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs one re-read."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``staged`` tables that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -40,3 +53,9 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def without(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but those of the given names, which are compared as Spark does, without regard to case."""
+    gone = {n.lower() for n in names}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
