@@ -1,12 +1,16 @@
-"""Predicates and text formats of the field language as column expressions."""
+"""Predicates of the field language and small text functions."""
 
 from __future__ import annotations
 
+import operator
 import re
 
 from pyspark.sql import Column, functions as F
 
-_OPS = {"=": "__eq__", "<>": "__ne__", "<": "__lt__", ">": "__gt__", "<=": "__le__", ">=": "__ge__"}
+from fieldloom.functions.culture import EN, Culture
+from fieldloom.functions.values import let, parse_number
+
+_OPS = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
 
 
 def glob(value: Column, pattern: str) -> Column:
@@ -15,125 +19,62 @@ def glob(value: Column, pattern: str) -> Column:
     return value.rlike(f"(?s)\\A{body}\\z")
 
 
-def compare(left: Column, op: str, right: Column | str) -> Column:
-    """Wildcards for ``=`` and ``<>``; numbers if both sides are; else ordinal strings. Unknown operators are false."""
-    if op not in _OPS:
-        return F.lit(False)
-    if isinstance(right, str) and op in ("=", "<>") and re.search(r"[*?]", right):
-        hit = glob(left, right)
-        return hit if op == "=" else ~hit
-    other = F.lit(right) if isinstance(right, str) else right
-    a, b = left.try_cast("double"), other.try_cast("double")
-    return F.when(a.isNotNull() & b.isNotNull(), getattr(a, _OPS[op])(b)).otherwise(getattr(left, _OPS[op])(other))
-
-
-def first_cap(x: Column) -> Column:
-    return F.concat(F.regexp_extract(x, r"(?s)^(\s*)", 1), F.upper(F.regexp_extract(x, r"(?s)^\s*(.?)", 1)), F.regexp_extract(x, r"(?s)^\s*.?(.*)$", 1))
-
-
-def caps(x: Column) -> Column:
-    """Upper-cases the first letter of each word and leaves the rest."""
-    return F.array_join(F.transform(F.split(x, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**30))), " ")
-
-
-def alphabetic(n: Column) -> Column:
-    """A to Z, AA and so on; numbers below 1 stay as they are."""
-    digits = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(F.lit("").alias("s"), n.cast("long").alias("r")), lambda a, _: F.when(a["r"] > 0, F.struct(F.concat(F.char(F.lit(65) + (a["r"] - 1) % 26), a["s"]).alias("s"), F.floor((a["r"] - 1) / 26).alias("r"))).otherwise(a))
-    return F.when(n > 0, digits["s"]).otherwise(n.cast("string"))
-
-
-#: Roman digits by decimal place.
-ROMAN = (" I II III IV V VI VII VIII IX", " X XX XXX XL L LX LXX LXXX XC", " C CC CCC CD D DC DCC DCCC CM", " M MM MMM")
-
-
-def roman(n: Column) -> Column:
-    k = n.cast("int")
-    places = [F.element_at(F.array(*map(F.lit, t.split(" "))), (F.floor(k / 10**i) % 10 + 1).cast("int")) for i, t in enumerate(ROMAN)]
-    return F.when((k >= 1) & (k <= 3999), F.concat(*reversed(places))).otherwise(k.cast("string"))
-
+def glob_column(value: Column, pattern: Column) -> Column:
+    """The same for a pattern in a column."""
+    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")
+    return F.rlike(value, F.concat(F.lit("(?s)\\A"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("\\z")))
 
-def hexadecimal(x: Column) -> Column:
-    return F.hex(F.bround(x).cast("long"))
 
-
-def ordinal(n: Column) -> Column:
-    k = n.cast("long")
-    odd = F.abs(k) % 100
-    last = F.abs(k) % 10
-    return F.concat(k.cast("string"), F.when((odd >= 11) & (odd <= 13), "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th"))
-
-
-#: English number words.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
-MOST = 32_767
-
-
-def card_text(x: Column) -> Column:
-    """English cardinal words up to 32,767; greater numbers stay digits, negative ones start with ``minus``."""
-    ones, tens = F.array(*map(F.lit, ONES.split())), F.array(*map(F.lit, TENS.split()))
-
-    def below_100(n: Column) -> Column:
-        word = F.element_at(tens, F.greatest(F.lit(1), F.floor(n / 10) - 1).cast("int"))
-        return F.when(n < 20, F.element_at(ones, F.least(n, F.lit(19)).cast("int") + 1)).when(n % 10 == 0, word).otherwise(F.concat(word, F.lit("-"), F.element_at(ones, (n % 10 + 1).cast("int"))))
-
-    def below_1000(n: Column) -> Column:
-        return F.when(n < 100, below_100(n)).otherwise(F.concat_ws(" ", F.element_at(ones, F.least(F.floor(n / 100), F.lit(19)).cast("int") + 1), F.lit("hundred"), F.when(n % 100 > 0, below_100(n % 100))))
-
-    k = F.abs(x.cast("long"))
-    words = F.when(k < 1000, below_1000(k)).otherwise(F.concat_ws(" ", below_1000(F.floor(k / 1000)), F.lit("thousand"), F.when(k % 1000 > 0, below_1000(k % 1000))))
-    return F.when(k > MOST, x.cast("long").cast("string")).when(x < 0, F.concat(F.lit("minus "), words)).otherwise(words)
+def compare(left: Column, op: str, right: Column | str | float, culture: Culture = EN, invariant: bool = False) -> Column:
+    """Wildcards on the right of ``=`` and ``<>``; numbers if both sides are; else ordinal strings. Unknown operators are
+    false. With a number on the right the left is a numeric column and compared as one."""
+    if op not in _OPS:
+        return F.lit(False)
+    test = _OPS[op]
+    if isinstance(right, (int, float)):
+        return test(left, float(right))
+    if isinstance(right, str):
+        if op in ("=", "<>") and re.search(r"[*?]", right):
+            hit = glob(left, right)
+            return hit if op == "=" else ~hit
+        other = F.lit(right)
+    else:
+        other = right
+
+    def both(x: Column, y: Column) -> Column:
+        ends = F.struct(parse_number(x, culture, invariant).alias("a"), parse_number(y, culture, invariant).alias("b"))
+        plain = let(ends, lambda e: F.when(e["a"].isNotNull() & e["b"].isNotNull(), test(e["a"], e["b"])).otherwise(test(x, y)))
+        if isinstance(right, str) or op not in ("=", "<>"):
+            return plain
+        hit = glob_column(x, y)
+        return F.when(y.rlike(r"[*?]"), hit if op == "=" else ~hit).otherwise(plain)
+
+    return let(left, lambda x: both(x, other) if isinstance(right, str) else let(other, lambda y: both(x, y)))
+
+
+def merge_field(x: Column, before: str = "", after: str = "", vertical: bool = False) -> Column:
+    """Text around a value that isn't empty; ``vertical`` puts each character on a line."""
+    shown = F.array_join(F.split(x, ""), "\n") if vertical else x
+    return F.when(F.length(x) > 0, F.concat(F.lit(before), shown, F.lit(after))).otherwise("")
 
 
-def dollar_text(x: Column) -> Column:
-    cents = F.floor(F.abs(x) * 100 + 0.5).cast("long")
-    return F.concat(card_text(F.floor(cents / 100) * F.signum(x)), F.lit(" and "), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit("/100"))
+def digits_only(x: Column) -> Column:
+    return F.regexp_replace(x, r"[^\p{Nd}.,\-–−]", "")
 
 
-def merge_field(x: Column, before: str = "", after: str = "") -> Column:
-    filled = F.trim(F.coalesce(x, F.lit(""))) != ""
-    return F.when(filled, F.concat(F.lit(before), x, F.lit(after))).otherwise("")
+def html_text(x: Column) -> Column:
+    """Text for HTML: the five characters that need it, and non-ASCII Latin-1 characters, as references."""
+    for c, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        x = F.replace(x, F.lit(c), F.lit(reference))
+    return x
 
 
-def digits_only(x: Column) -> Column:
-    return F.regexp_replace(x, r"[^\p{Nd}.,\-–−]", "")
+def html_attribute(x: Column) -> Column:
+    for c, reference in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        x = F.replace(x, F.lit(c), F.lit(reference))
+    return x
 
 
-_DATE = re.compile(r"'([^']*)'|(AM/PM|am/pm|M{1,4}|d{1,4}|y{2,4}|h{1,2}|H{1,2}|m{1,2}|s{1,2})|(.)", re.S)
-_DATE_AS = {"ddd": "EEE", "dddd": "EEEE", "AM/PM": "a", "am/pm": "a", "yyy": "yyyy"}
-
-
-def date_picture(t: Column, picture: str) -> Column:
-    parts = [F.date_format(t, _DATE_AS.get(m[2], m[2])) if m[2] else F.lit(m[1] if m[1] is not None else m[3]) for m in _DATE.finditer(picture)]
-    return F.concat(*parts) if parts else F.lit("")
-
-
-def numeric_picture(x: Column, picture: str) -> Column:
-    """``0 # , .`` with literals around them and up to three sections (positive; negative; zero)."""
-    sections = picture.split(";")
-
-    def one(value: Column, p: str) -> Column:
-        m = re.search(r"[0#x,.]*[0#x][0#x,.]*", p)
-        if not m:
-            return F.lit(p)
-        body, _, part = m[0].partition(".")
-        places, least = len(part), part.count("0")
-        digits, need = body.replace(",", ""), body.count("0")
-        scaled = F.floor(F.abs(value) * 10**places + 0.5).cast("decimal(38,0)")
-        text = F.lpad(scaled.cast("string"), F.greatest(F.length(scaled.cast("string")), F.lit(places + need)), "0")
-        whole = F.substring(text, F.lit(1), F.length(text) - places)
-        whole = F.when(F.lit(need == 0) & (F.regexp_replace(whole, "0", "") == ""), "").otherwise(whole)
-        if "x" in digits:
-            whole = F.right(whole, F.lit(len(digits)))
-        whole = F.lpad(whole, F.greatest(F.length(whole), F.lit(len(digits))), " ")
-        if "," in body:
-            whole = F.regexp_replace(whole, r"(?<=\d)(?=(\d{%d})+$)" % len(re.sub("[^0#x]", "", body.rsplit(",", 1)[1])), ",")
-        fraction = F.right(text, F.lit(places)) if places else F.lit("")
-        if least < places:
-            fraction = F.regexp_replace(fraction, "0{0,%d}$" % (places - least), "")
-        dot = F.when(F.length(fraction) > 0, F.concat(F.lit("."), fraction)).otherwise("")
-        return F.concat(F.lit(p[: m.start()]), whole, dot, F.lit(p[m.end() :]))
-
-    minus = one(x, sections[1]) if len(sections) > 1 else F.concat(F.lit("-"), one(x, sections[0]))
-    zero = one(x, sections[2]) if len(sections) > 2 else one(x, sections[0])
-    return F.when(x < 0, minus).when(x == 0, zero).otherwise(one(x, sections[0]))
+def blank_runs(x: Column) -> Column:
+    """White space collapsed to single blanks and trimmed, as in alternative texts and table cells."""
+    return F.trim(F.regexp_replace(x, r"\s+", " "))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fieldloom.functions import text as T
+from fieldloom.functions import pictures as P, text as T, words
 from fieldloom.functions.formula import formula, formula_text
-from fieldloom.operators import cells, merge, revisions
+from fieldloom.operators import cells, counters, merge, revisions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ def merge_basic(df):
 
 @query("customer", "SELECT * FROM (SELECT c_custkey, mergerec, row_number() OVER (ORDER BY c_custkey) AS mergeseq FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS mergerec FROM customer) WHERE NOT (c_acctbal < 0))")
 def merge_skipif(df):
-    return merge.merge_records(df.select("c_custkey", "c_acctbal"), "c_custkey", T.compare(F.col("c_acctbal").cast("string"), "<", "0")).select("c_custkey", "mergerec", "mergeseq")
+    return merge.merge_records(df.select("c_custkey", "c_acctbal"), "c_custkey", T.compare(F.col("c_acctbal"), "<", 0)).select("c_custkey", "mergerec", "mergeseq")
 
 
 @query("nation", "SELECT n_nationkey, n_name, n1 AS n_name_1, n2 AS n_name_2 FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS r, lead(n_name) OVER (ORDER BY n_nationkey) AS n1, lead(n_name, 2) OVER (ORDER BY n_nationkey) AS n2 FROM nation) WHERE (r - 1) % 2 = 0")
@@ -45,7 +45,7 @@ def mergefield_affixes(df):
 
 @query("orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'large' ELSE 'small' END AS size_text, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_f FROM orders")
 def if_compare(df):
-    big = T.compare(F.col("o_totalprice").cast("string"), ">", "100000")
+    big = T.compare(F.col("o_totalprice"), ">", 100_000)
     return df.select("o_orderkey", F.when(big, "large").otherwise("small").alias("size_text"), F.when(T.compare(F.col("o_orderstatus"), "=", "F"), 1.0).otherwise(0.0).alias("is_f"))
 
 
@@ -107,33 +107,33 @@ def range_above_below(df):
 
 @query("events", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS seq FROM events")
 def seq_basic(df):
-    return merge.sequence(df.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"]).select("event_id", "seq")
+    return counters.sequence(df.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"]).select("event_id", "seq")
 
 
 @query("events", "SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq FROM events")
 def seq_repeat(df):
-    return merge.sequence(df, ["user_id"], ["event_id"], repeat=F.col("event_type") == "error").select("event_id", "seq")
+    return counters.sequence(df, ["user_id"], ["event_id"], repeat=F.col("event_type") == "error").select("event_id", "seq")
 
 
 @query("events", "SELECT event_id, CAST(CASE WHEN g = 0 THEN row_number() OVER (PARTITION BY user_id, g ORDER BY event_id) ELSE 9 + row_number() OVER (PARTITION BY user_id, g ORDER BY event_id) END AS BIGINT) AS seq FROM (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM events)")
 def seq_reset(df):
-    return merge.sequence(df, ["user_id"], ["event_id"], reset=F.when(F.col("event_type") == "signup", 10)).select("event_id", "seq")
+    return counters.sequence(df, ["user_id"], ["event_id"], reset=F.when(F.col("event_type") == "signup", 10)).select("event_id", "seq")
 
 
 @query("orders", "SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS grouped, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 5, '0') AS padded, CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE CAST(o_orderkey % 3 AS VARCHAR) || ' items' END AS sections FROM orders")
 def num_picture(df):
     k = F.col("o_orderkey")
-    return df.select("o_orderkey", T.numeric_picture(F.col("o_totalprice"), "#,##0.00").alias("grouped_raw"), T.numeric_picture(k % 1000, "00000").alias("padded"), T.numeric_picture(k % 3, "0 items;-0 items;none").alias("sections")).withColumn("grouped", F.ltrim("grouped_raw")).drop("grouped_raw")
+    return df.select("o_orderkey", P.numeric_picture(F.col("o_totalprice"), "#,##0.00").alias("grouped_raw"), P.numeric_picture(k % 1000, "00000").alias("padded"), P.numeric_picture(k % 3, "0' items';-0' items';none").alias("sections")).withColumn("grouped", F.ltrim("grouped_raw")).drop("grouped_raw")
 
 
 @query("orders", "SELECT o_orderkey, strftime(o_orderdate, '%a, %d %B %Y') AS long_date, strftime(o_orderdate, '%Y-%m-%d at %H:%M') AS short_date FROM orders")
 def date_picture(df):
-    return df.select("o_orderkey", T.date_picture(F.col("o_orderdate"), "ddd, dd MMMM yyyy").alias("long_date"), T.date_picture(F.col("o_orderdate"), "yyyy-MM-dd 'at' HH:mm").alias("short_date"))
+    return df.select("o_orderkey", P.date_picture(F.col("o_orderdate"), "ddd, dd MMMM yyyy").alias("long_date"), P.date_picture(F.col("o_orderdate"), "yyyy-MM-dd 'at' HH:mm").alias("short_date"))
 
 
 @query("part", "SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, upper(p_name[1]) || p_name[2:] AS first_cap, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS caps FROM part")
 def text_case(df):
-    return df.select("p_partkey", F.upper("p_name").alias("up"), F.lower("p_type").alias("low"), T.first_cap(F.col("p_name")).alias("first_cap"), T.caps(F.col("p_name")).alias("caps"))
+    return df.select("p_partkey", F.upper("p_name").alias("up"), F.lower("p_type").alias("low"), P.first_cap(F.col("p_name")).alias("first_cap"), P.caps(F.col("p_name")).alias("caps"))
 
 
 _ROMAN = "['','I','II','III','IV','V','VI','VII','VIII','IX'][p_size % 10 + 1]"
@@ -142,15 +142,15 @@ _ROMAN = "['','I','II','III','IV','V','VI','VII','VIII','IX'][p_size % 10 + 1]"
 @query("part", f"SELECT p_partkey, CASE WHEN p_size > 26 THEN chr(CAST(64 + (p_size - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (p_size - 1) % 26 AS INTEGER)) AS alpha, ['','X','XX','XXX','XL','L','LX'][p_size // 10 + 1] || {_ROMAN} AS roman, to_hex(p_size * 1000) AS hex, p_size || CASE WHEN p_size % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_size % 10 = 1 THEN 'st' WHEN p_size % 10 = 2 THEN 'nd' WHEN p_size % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal FROM part")
 def alpha_roman_hex_ordinal(df):
     n = F.col("p_size")
-    return df.select("p_partkey", T.alphabetic(n).alias("alpha"), T.roman(n).alias("roman"), T.hexadecimal(n.cast("double") * 1000).alias("hex"), T.ordinal(n).alias("ordinal"))
+    return df.select("p_partkey", P.alphabetic(n).alias("alpha"), P.roman(n).alias("roman"), F.hex(F.bround(n.cast("double") * 1000).cast("long")).alias("hex"), P.ordinal(n).alias("ordinal"))
 
 
-_ONES, _TENS = [f"'{w}'" for w in T.ONES.split()], [f"'{w}'" for w in T.TENS.split()]
+_ONES, _TENS = [f"'{w}'" for w in words.EN_SMALL], [f"'{w}'" for w in words.EN_TENS]
 
 
 @query("part", f"SELECT p_partkey, CASE WHEN p_size < 20 THEN [{', '.join(_ONES)}][p_size + 1] ELSE [{', '.join(_TENS)}][p_size // 10 - 1] || CASE WHEN p_size % 10 = 0 THEN '' ELSE '-' || [{', '.join(_ONES)}][p_size % 10 + 1] END END AS words FROM part")
 def card_words(df):
-    return df.select("p_partkey", T.card_text(F.col("p_size")).alias("words"))
+    return df.select("p_partkey", words.cardinal(F.col("p_size"), "en").alias("words"))
 
 
 @query("events", "SELECT * FROM (SELECT event_id, user_id FROM events WHERE event_type <> 'error')")
