@@ -6,46 +6,58 @@ bucket every sequence is padded to the boundary, and as many go to a batch as th
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Lengths up to FINE have a histogram bin each; above, bins are FINE / 2 to a doubling, so bins are bounded.
-FINE = 1024
-
+from fieldloom.llm.shared import staged
 
 def n_tokens(text: Column) -> Column:
     """Words of a text, split at white space; null and blank texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit("\\S+")), F.lit(0)).cast("long")
 
 
-def length_bin(n: Column) -> Column:
-    k = F.floor(F.log2(F.greatest(n, F.lit(FINE)).cast("double") / FINE)).cast("int")
-    width = F.pow(F.lit(2.0), k + 1).cast("long")
-    return F.when(n <= FINE, n).otherwise((k + 1) * 1_000_000 + F.floor(n / width)).cast("long")
-
-
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
-    """Ascending boundaries, at most ``buckets``, the last one the greatest length, with the least padding."""
+    """Ascending boundaries, at most ``buckets``, the last one the greatest length, with the least padding.
+
+    With N(i) rows among the first i lengths, the padded size of the first j + 1 lengths is the least
+    ``best(i) + length(j) * (N(j + 1) - N(i + 1))`` over the last boundary i below j: lines of falling slopes -N(i + 1)
+    asked at rising lengths, so a convex hull gives each layer of the programme in linear time. Integers throughout.
+    """
     m = len(lengths)
     if not m:
         return []
-    top = np.array(lengths, float)
-    n = np.concatenate([[0], np.cumsum(np.array(counts, float))])
-    best = top * n[1:]  # padded size of the first j lengths in one bucket; the true sizes are the same for all choices
+    upto = [0]
+    for c in counts:
+        upto.append(upto[-1] + c)
+    best = [lengths[j] * upto[j + 1] for j in range(m)]  # the first j + 1 lengths in one bucket
     back = []
     for _ in range(min(buckets, m) - 1):
-        new, came = best.copy(), np.full(m, -1)
+        new, came = list(best), [-1] * m
+        hull: list[int] = []  # boundaries whose lines are least somewhere
+        at = 0
         for j in range(1, m):
-            cost = best[:j] + top[j] * (n[j + 1] - n[1 : j + 1])
-            i = int(cost.argmin())
-            if cost[i] < new[j]:
-                new[j], came[j] = cost[i], i
+            i = j - 1
+            while len(hull) > 1:
+                p, q = hull[-2], hull[-1]
+                # q is nowhere least if line i is below p before q is
+                if (best[i] - best[p]) * (upto[q + 1] - upto[p + 1]) <= (best[q] - best[p]) * (upto[i + 1] - upto[p + 1]):
+                    hull.pop()
+                else:
+                    break
+            hull.append(i)
+            at = min(at, len(hull) - 1)
+            x = lengths[j]
+            while at + 1 < len(hull) and best[hull[at + 1]] - x * upto[hull[at + 1] + 1] <= best[hull[at]] - x * upto[hull[at] + 1]:
+                at += 1
+            i = hull[at]
+            cost = best[i] + x * (upto[j + 1] - upto[i + 1])
+            if cost < new[j]:
+                new[j], came[j] = cost, i
         back.append(came)
         best = new
     cut, j = [lengths[m - 1]], m - 1
     for came in reversed(back):
         if came[j] >= 0:
-            j = int(came[j])
+            j = came[j]
             cut.append(lengths[j])
     return sorted(cut)
 
@@ -55,12 +67,13 @@ def pack(df: DataFrame, buckets: int = 16, budget: int = 32_768, key: str = "doc
 
     Every row is packed, those without a token too (padded length at least 1). A sequence longer than the budget is a
     batch of its own. Rows of a bucket are numbered in up to 4096 hashed chunks whose counts are summed, so no task
-    holds a bucket. Other columns play no part; an empty table gives no rows.
+    holds a bucket. Keys may be null or repeated. Other columns play no part; an empty table gives no rows. The lengths are
+    written to the shared folder when the plan is built.
     """
-    rows = df.select(F.col(key).alias("_key"), n_tokens(F.col(text)).alias("n"), F.xxhash64(F.col(key), F.col(text)).alias("_h"))
-    hist = rows.groupBy(length_bin(F.col("n")).alias("b")).agg(F.max("n").alias("n"), F.count("*").alias("c")).collect()
-    spots = sorted((r["n"], r["c"]) for r in hist)
-    total, cuts = sum(c for _, c in spots), boundaries([n for n, _ in spots], [c for _, c in spots], buckets)
+    rows = staged(df.select(F.col(key).alias("_key"), n_tokens(F.col(text)).alias("n"), F.xxhash64(F.col(key), F.col(text)).alias("_h")), "lengths")
+    hist = rows.groupBy("n").count().sort("n").toArrow()  # the different lengths: at most the root of twice all words
+    spots, counts = hist["n"].to_pylist(), hist["count"].to_pylist()
+    total, cuts = sum(counts), boundaries(spots, counts, buckets)
     if not cuts:
         cuts = [0]
     chunks = max(1, min(4096, total // chunk_rows))
@@ -78,4 +91,5 @@ def pack(df: DataFrame, buckets: int = 16, budget: int = 32_768, key: str = "doc
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document; see ``pack`` for columns and odd rows."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
