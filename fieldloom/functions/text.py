@@ -63,10 +63,15 @@ def digits_only(x: Column) -> Column:
 
 
 def html_text(x: Column) -> Column:
-    """Text for HTML: the five characters that need it, and non-ASCII Latin-1 characters, as references."""
+    """Text for HTML: the five characters that need it, code points 160 to 255, and those above the basic plane as references."""
     for c, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         x = F.replace(x, F.lit(c), F.lit(reference))
-    return x
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code.between(160, 255) | (code > 0xFFFF), F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))).otherwise(c)
+
+    return let(x, lambda t: F.when(t.rlike(r"[\x{a0}-\x{ff}\x{10000}-\x{10ffff}]"), F.array_join(F.transform(F.split(t, ""), one), "")).otherwise(t))
 
 
 def html_attribute(x: Column) -> Column:

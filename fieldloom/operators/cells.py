@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldloom.functions.text import blank_runs
 from fieldloom.functions.values import parse_number
 
 
@@ -136,18 +135,21 @@ def database_text(df: DataFrame, group: list[str], order: str, columns: list[str
 
 
 def ascii_table(df: DataFrame, table: list[str], row: str, col: str, text: str, header: Column | None = None, name: str = "body") -> DataFrame:
-    """Each table as text: cells padded to their column's width, ``|`` between them, a rule below header rows (the first one
-    if ``header`` is None)."""
-    wide = Window.partitionBy(*table, col)
-    cell = blank_runs(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    """Each table as text: cells padded to their column's width (short rows filled), ``|`` between them, a rule below header
+    rows (the first one if ``header`` is None). ``col`` counts from 0."""
+    lines = F.split(F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n")
+    cell = F.array_join(F.filter(F.transform(lines, lambda t: F.trim(t)), lambda t: F.length(t) > 0), " ")
     held = df.withColumn("_cell", cell).withColumn("_head", (F.col(row) == F.min(row).over(Window.partitionBy(*table))) if header is None else header)
-    held = held.withColumn("_width", F.greatest(F.max(F.length("_cell")).over(wide), F.lit(1)))
-    held = held.withColumn("_padded", F.rpad("_cell", F.col("_width"), " "))
-    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(col).alias("c"), c.alias("t")))), lambda x: x["t"])
-    lines = held.groupBy(*table, row).agg(F.max("_head").alias("_head"), F.array_join(pick(F.col("_padded")), " | ").alias("line"), F.array_join(pick(F.repeat(F.lit("-"), F.col("_width"))), "-+-").alias("rule"))
-    shown = F.when(F.col("_head"), F.concat_ws("\n", F.rtrim("line"), "rule")).otherwise(F.rtrim("line"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), shown.alias("l"))))
-    return lines.groupBy(*table).agg(F.array_join(F.transform(rows, lambda x: x["l"]), "\n").alias(name))
+    widths = held.groupBy(*table, col).agg(F.max(F.length("_cell")).alias("_width")).groupBy(*table).agg(F.map_from_entries(F.collect_list(F.struct(col, "_width"))).alias("_widths"), F.max(col).alias("_last"))
+    rows = held.groupBy(*table, row).agg(F.max("_head").alias("_head"), F.map_from_entries(F.collect_list(F.struct(col, "_cell"))).alias("_cells"))
+    rows = rows.join(widths, table)
+    spots = F.sequence(F.lit(0), F.col("_last"))
+    width = lambda i: F.coalesce(F.try_element_at(F.col("_widths"), i), F.lit(0))
+    line = F.array_join(F.transform(spots, lambda i: F.rpad(F.coalesce(F.try_element_at(F.col("_cells"), i), F.lit("")), width(i), " ")), " | ")
+    rule = F.array_join(F.transform(spots, lambda i: F.repeat(F.lit("-"), F.greatest(width(i), F.lit(3)))), "-+-")
+    shown = F.when(F.col("_head"), F.concat(line, F.lit("\n"), rule)).otherwise(line)
+    stacked = F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), shown.alias("l"))))
+    return rows.groupBy(*table).agg(F.array_join(F.transform(stacked, lambda x: x["l"]), "\n").alias(name))
 
 
 #: Fixed value: from so many columns on a result is tabbed text instead of a table.

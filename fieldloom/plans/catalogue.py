@@ -1,26 +1,13 @@
-"""The registered queries of the field engine, each with its SQL. All of them read whole tables."""
+"""Queries of formulas, formats, counters, cells and revisions, each with its SQL. All of them read whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import functions as F
 
 from fieldloom.functions import pictures as P, text as T, words
 from fieldloom.functions.formula import formula, formula_text
-from fieldloom.operators import cells, counters, merge, revisions
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(table: str, sql: str):
-    def register(build: Callable[[DataFrame], DataFrame]):
-        QUERIES[build.__name__] = lambda spark, sf_dir: build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-        ORACLE_SQL[build.__name__] = sql
-        return build
-
-    return register
+from fieldloom.operators import cells, counters, merge, revisions, views
+from fieldloom.plans.registry import query
 
 
 @query("customer", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS mergerec, 'Dear ' || c_name AS body FROM customer")
@@ -155,23 +142,39 @@ def card_words(df):
 
 @query("events", "SELECT * FROM (SELECT event_id, user_id FROM events WHERE event_type <> 'error')")
 def tracked_accept(df):
-    return revisions.accepted(df, F.col("event_type") == "signup", F.col("event_type") == "error").select("event_id", "user_id")
+    return revisions.accepted(df, revisions.keep_flags(F.col("event_type") == "signup", F.col("event_type") == "error")[0]).select("event_id", "user_id")
 
 
 @query("events", "SELECT event_id, user_id FROM events WHERE event_type <> 'signup'")
 def tracked_reject(df):
-    return revisions.rejected(df, F.col("event_type") == "signup", F.col("event_type") == "error").select("event_id", "user_id")
+    return revisions.rejected(df, revisions.keep_flags(F.col("event_type") == "signup", F.col("event_type") == "error")[1]).select("event_id", "user_id")
+
 
+_MODE = "CASE event_type WHEN 'signup' THEN 'ins' WHEN 'error' THEN 'del' ELSE '' END"
+_W = "OVER (PARTITION BY user_id ORDER BY event_id)"
 
-@query("events", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'ins' WHEN 'error' THEN 'del' ELSE 'none' END AS mark FROM events")
+
+@query("events", f"SELECT event_id, CASE WHEN m <> '' AND b <> m THEN '<' || m || '>' ELSE '' END || event_type || CASE WHEN m <> '' AND n <> m THEN '</' || m || '>' ELSE '' END AS inline FROM (SELECT *, coalesce(lag(m) {_W}, '') AS b, coalesce(lead(m) {_W}, '') AS n FROM (SELECT *, {_MODE} AS m FROM events))")
 def tracked_inline(df):
-    return revisions.inline(df, F.col("event_type") == "signup", F.col("event_type") == "error").select("event_id", "mark")
+    accept, reject = revisions.keep_flags(F.col("event_type") == "signup", F.col("event_type") == "error")
+    return revisions.inline(df, ["user_id"], "event_id", "event_type", accept, reject).select("event_id", "inline")
+
+
+@query("events", "SELECT user_id, CASE WHEN a = r THEN a ELSE '<table><tr><td>' || r || '</td><td>' || a || '</td></tr></table>' END AS split FROM (SELECT user_id, coalesce(string_agg(CASE WHEN event_type <> 'error' THEN event_type END, '' ORDER BY event_id), '') AS a, coalesce(string_agg(CASE WHEN event_type <> 'signup' THEN event_type END, '' ORDER BY event_id), '') AS r FROM events GROUP BY user_id)")
+def tracked_split(df):
+    accept, reject = revisions.keep_flags(F.col("event_type") == "signup", F.col("event_type") == "error")
+    return revisions.split(df, ["user_id"], "event_id", "event_type", accept, reject).select("user_id", "split")
+
+
+@query("events", "SELECT event_id, event_type <> 'error' AS keep_accept, event_type <> 'signup' AS keep_reject, event_type = 'error' AS underline, false AS strike FROM events")
+def tracked_by_look(df):
+    df = df.select("event_id", F.col("event_type").isin("signup", "error").alias("underline"), (F.col("event_type") == "error").alias("strike"))
+    return revisions.classified(df, revisions.by_look(F.col("underline"), F.col("strike"))).select("event_id", "keep_accept", "keep_reject", "underline", "strike")
 
 
 @query("events", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")
 def section_inherit(df):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("props")), True).over(w).alias("header"))
+    return views.inherited(df, ["user_id"], "event_id", {"header": F.when(F.col("event_type") == "signup", F.col("props"))}).select("event_id", "header")
 
 
 @query("conversations", "SELECT conv_id, turn, CASE WHEN r = 1 THEN 'firstRow' WHEN r = n THEN 'lastRow' WHEN r % 2 = 0 THEN 'band1Horz' ELSE 'band2Horz' END AS condition FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")
@@ -184,7 +187,6 @@ def database_text(df):
     return cells.database_text(df, ["o_custkey"], "o_orderkey", ["o_orderkey", "o_orderstatus"])
 
 
-@query("documents", "SELECT doc_id, length(text) AS n_chars, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
+@query("documents", "SELECT doc_id, length(text) AS n_chars, array_to_string(list_transform(string_split(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;'), ''), lambda c: CASE WHEN ord(c) BETWEEN 160 AND 255 OR ord(c) > 65535 THEN '&#' || ord(c) || ';' ELSE c END), '') AS html FROM documents")
 def html_encode(df):
-    html = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return df.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), html.alias("html"))
+    return df.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), T.html_text(F.col("text")).alias("html"))

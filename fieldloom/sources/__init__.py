@@ -1,0 +1 @@
+"""Readers: Word packages, HTML, databases, variable files, included documents."""

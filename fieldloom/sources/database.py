@@ -62,12 +62,12 @@ def result_text(df: DataFrame, headings: bool = False) -> DataFrame:
 
 def single_value(df: DataFrame, headings: bool = False) -> Value | None:
     """The value of a result of one column, typed; the column is null unless there is just one record. None of other results
-    and of those with headings."""
+    and of those with headings. The query runs when the plan is built, and its one value is a constant of the plan."""
     if headings or len(df.columns) != 1:
         return None
     name, kind = df.columns[0], df.dtypes[0][1]
     one = df.limit(2).agg(F.when(F.count("*") == 1, F.first(f"`{name}`")).alias("v"))
-    return of_type(one.scalar(), kind)
+    return of_type(F.lit(one.first()[0]).cast(kind), kind)
 
 
 def provider(connections: Mapping[str, Connection], parameter: Callable[[Column], object] | None = None) -> Callable[[DatabaseRequest], Value]:

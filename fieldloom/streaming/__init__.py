@@ -1,0 +1 @@
+"""Streams of records: merges without state, and running counters with it."""
