@@ -5,10 +5,10 @@ import datetime
 import duckdb
 import pytest
 
-from fieldloom.plans import catalogue
+from fieldloom.plans import all as catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations labels pages".split()
 
 
 def plain(v):
@@ -24,7 +24,7 @@ def rows(names, data):
     return sorted([tuple(plain(r[i]) for i in order) for r in data], key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_matches_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
