@@ -78,14 +78,22 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip stream of one or more members."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip stream of one or more members, in pieces of at most _CHUNK bytes however well they were packed. A
+    stream that ends inside a member, its checksum included, is an error."""
+    z, open_member = zlib.decompressobj(31), False
     while raw := stream.read(_CHUNK):
-        while raw:
-            yield z.decompress(raw)
-            raw = z.unused_data
+        more = True
+        while more:
+            out = z.decompress(raw, _CHUNK)
+            open_member = True
+            if out:
+                yield out
+            raw, more = z.unconsumed_tail, bool(z.unconsumed_tail) or len(out) == _CHUNK
             if z.eof:
-                z = zlib.decompressobj(31)
+                raw, open_member = z.unused_data, False
+                z, more = zlib.decompressobj(31), bool(raw)
+    if open_member:
+        raise ValueError("the archive is cut off inside a gzip member")
 
 
 def _open(path: str):
@@ -199,4 +207,5 @@ def archive_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: s
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every page, written and read back; see ``archive_pages`` for columns and odd rows."""
     return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
