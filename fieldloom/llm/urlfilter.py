@@ -91,7 +91,7 @@ def judge_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages table has no capture time; a page's is taken as 2024-01-01 plus 37 * page_id mod 730 days."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    pages = pages.withColumn("fetched", F.expr("date_add(DATE'2024-01-01', CAST(pmod(page_id * 37, 730) AS INT))"))
+    pages = pages.withColumn("fetched", F.expr("date_add(DATE'2024-01-01', CAST(pmod(pmod(page_id, 730) * 37, 730) AS INT))"))
     rows = ", ".join("(DATE'{}', '{}', '{}', '{}', '{}')".format(*x) for x in list_rows())
     entries = spark.sql(f"SELECT * FROM VALUES {rows} AS t(day, kind, value, action, verdict)")
     return judge_urls(pages, entries)
@@ -103,7 +103,7 @@ OP4_SQL = (
     + r"""),
 one AS (SELECT *, row_number() OVER (PARTITION BY kind, value, day ORDER BY action, verdict DESC) AS n FROM log),
 spans AS (SELECT kind, value, verdict, action, day AS valid_from, lead(day) OVER (PARTITION BY kind, value ORDER BY day) AS valid_to FROM one WHERE n = 1),
-cap AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS DATE) AS fetched,
+cap AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id % 730) * 37 % 730 + 730) % 730 AS INTEGER) AS DATE) AS fetched,
   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:@]+)', 2)) AS host,
   list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '/'), lambda p: p <> '') AS parts FROM pages),
 keys AS (SELECT page_id, fetched, 'domain' AS kind, array_to_string(string_split(host, '.')[i:], '.') AS value FROM cap, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(i)
