@@ -174,6 +174,7 @@ def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "tex
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; see ``encode_documents`` for odd rows."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -117,4 +117,5 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of every document and of its edited text; see ``fingerprint_documents`` for columns and odd rows."""
     return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
