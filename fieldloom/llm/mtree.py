@@ -1,23 +1,33 @@
-"""Exact top-k by inner product through M-trees and best-first search.
-
-Inner products become distances by one more component: with R the greatest norm of a block, a candidate x gets
-``sqrt(R^2 - |x|^2)`` and a query 0, so ``d^2 = |q|^2 + R^2 - 2 q.x`` and the nearest are the best. Each block of
-candidates is an M-tree: pages of entries with their distance to the page's routing object (the parent distance) and a
-covering radius, and a page of pages above. A search takes pages by their least possible distance, leaves the routing
-objects and entries whose stored distances prove them too far by the triangle inequality, and ends when the next page
-can't hold a better one. Scores are integers, computed exactly; the bounds have a slack above float rounding, and the
-k best of all blocks are merged, so the result is exact with ties to the smaller id.
+"""Exact top-k by inner product through an M-tree and best-first search.
+
+Inner products become distances by one more component: with R the greatest norm of all, a candidate x gets
+``sqrt(R^2 - |x|^2)`` and a query 0, so ``d^2 = |q|^2 + R^2 - 2 q.x`` and the nearest are the best. The top of the tree is
+over the whole table: sampled pivots are routing objects, each candidate lies in the cell of its nearest pivot, and a cell
+has a covering radius. Below, a cell's blocks are trees of pages: entries with their distance to the page's routing object
+(the parent distance) and a covering radius, and a page of pages above.
+
+A query first searches the cell that may hold the nearest, then only those whose least possible distance isn't beyond its
+k-th best so far. Inside, pages are taken by their least possible distance; routing objects and entries whose stored
+distances prove them too far by the triangle inequality are left out. Scores are integers, computed exactly; the bounds
+have a slack above float rounding, and the results of all cells are merged, so the result is exact with ties to the smaller id.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-PAGE, BLOCK, QUERIES = 48, 4096, 4096
+from fieldloom.llm.shared import staged
+
+#: Entries of a page, rows of a block, queries that one task holds, and routing objects at the top at most.
+PAGE, BLOCK, QUERIES, PIVOTS = 48, 4096, 4096, 2048
+#: Squared norms above this can't be held exactly.
+GREATEST = 2.0**62
 
 
 class MTree:
@@ -101,29 +111,76 @@ def quantised(column: str):
     return F.transform(column, lambda x: F.floor(F.lit(256.0) * x.cast("double")))
 
 
-def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose key is divisible by ``every`` its ``k`` best other rows.
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Integer vectors as rows, shorter ones padded with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
 
-    Vectors that are null or hold a null or non-finite component, and rows with a null key, take no part. Shorter vectors
-    count as padded with zeros, components beyond 2^24 after scaling are out of the defined range. Repeated rows are
-    candidates each, but rows with the query's own key are its own row. Other columns play no part.
-    """
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine).select(F.col(key).cast("long").alias("id"), quantised(vector).alias("v"))
-    asked = rows.filter(F.col("id") % every == 0)
-    n, m = rows.count(), asked.count()
-    blocks, turns = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
+
+class _Top:
+    """The routing objects at the top, lifted by the component that makes inner products distances."""
+
+    def __init__(self, pivots: np.ndarray, r2: float):
+        self.r2 = r2
+        self.slack = 1e-6 * (1 + r2) ** 0.5
+        self.points = self.lifted(pivots)
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        f = x.astype(float)
+        return np.column_stack([f, np.sqrt(np.maximum(self.r2 - (f**2).sum(1), 0))])
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        d2 = (points**2).sum(1)[:, None] + (self.points**2).sum(1)[None, :] - 2 * points @ self.points.T
+        return np.sqrt(np.maximum(d2, 0))
+
+    def placed(self, df: DataFrame, width: int) -> DataFrame:
+        """(id, v, c) with the cell of the nearest routing object and the distance to it."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in (batch.slice(i, 2048) for i in range(0, len(batch), 2048)):
+                    d = self.distances(self.lifted(_matrix(part.column("v"), width)))
+                    cell = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), part.column("c"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["id", "v", "c", "cell", "d"])
+
+        return df.select("id", "v", "c").mapInArrow(work, "id long, v array<long>, c long, cell int, d double")
+
+    def routed(self, df: DataFrame, width: int, radius: np.ndarray, first: bool) -> DataFrame:
+        """Queries (id, v, far) with cells to search: the one that may hold the nearest, or all others within ``far``."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in (batch.slice(i, 2048) for i in range(0, len(batch), 2048)):
+                    q = _matrix(part.column("v"), width).astype(float)
+                    d = self.distances(np.column_stack([q, np.zeros(len(q))]))
+                    least = np.where(np.isnan(radius), np.inf, np.maximum(d - radius, 0))
+                    best = np.lexsort((d, least), axis=1)[:, 0] if len(q) else np.zeros(0, int)
+                    if first:
+                        row, cell = np.arange(len(q)), best
+                    else:
+                        far = part.column("far").to_numpy(zero_copy_only=False)
+                        near = least <= far[:, None] + 2 * self.slack
+                        near[np.arange(len(q)), best] = False
+                        row, cell = np.nonzero(near & np.isfinite(least))
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("v").take(at), pa.array(cell.astype(np.int32))], ["id", "v", "cell"])
+
+        return df.select("id", "v", "far").mapInArrow(work, "id long, v array<long>, cell int")
+
+
+def _search(cells: DataFrame, queries: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best of every block of the cells that a query is sent to."""
     h = F.xxhash64("id", "v")
-    left = rows.withColumn("block", F.pmod(h, F.lit(blocks))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).withColumn("turn", F.col("turn").cast("long"))
-    # A key and vector may be repeated any number of times: queries are distinct, candidates of equal rows are counted.
-    left = left.groupBy("block", "turn", "id", "v").agg(F.count("*").alias("c"))
-    right = asked.distinct().withColumn("turn", F.pmod(h, F.lit(turns))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    sent = queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).alias("turns")).join(blocks, "cell")  # a row a cell
+    left = cells.join(F.broadcast(sent), "cell").withColumn("block", F.pmod(h, "blocks")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    right = queries.join(F.broadcast(sent), "cell").withColumn("turn", F.pmod(h, "turns")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
 
     def work(cand: pd.DataFrame, quer: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(cand) and len(quer):
             cand = cand.sort_values("id")
-            width = max(*(len(v) for v in cand["v"]), *(len(v) for v in quer["v"]), 1)
             matrix = lambda c: np.stack([np.pad(np.asarray(v, np.int64), (0, width - len(v))) for v in c])
             times = np.minimum(cand["c"].to_numpy(), k)
             tree = MTree(np.repeat(cand["id"].to_numpy(), times), np.repeat(matrix(cand["v"]), times, 0))
@@ -131,10 +188,49 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vecto
                 out += [(i, x, s) for s, x in tree.search(i, q, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(work, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keys = ("cell", "block", "turn")
+    return left.select(*keys, "id", "v", "c").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(work, "query_id long, vec_id long, score long")
+
+
+def top_k(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose key is divisible by ``every`` its ``k`` best other rows.
+
+    Vectors that are null or hold a null or non-finite component, and rows with a null key, take no part. Shorter vectors
+    count as padded with zeros; squared norms above GREATEST after scaling are an error. Repeated rows are candidates each,
+    but rows with the query's own key are its own row. Queries of one key share one ranking, whatever their vectors. Other
+    columns play no part; an empty table gives no rows. Jobs are run while the plan is built.
+    """
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine).select(F.col(key).cast("long").alias("id"), quantised(vector).alias("v"))
+    # A key and vector may be repeated any number of times: equal rows are counted.
+    rows = staged(rows.groupBy("id", "v").agg(F.count("*").alias("c")), "vectors")
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    n, width, r2 = rows.agg(F.count("*"), F.max(F.size("v")), F.max(norm)).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if r2 >= GREATEST:
+        raise ValueError(f"a vector's squared norm of {r2} after scaling is beyond {GREATEST}")
+    width = max(1, width)
+    held = rows.select("v", "id").orderBy(F.xxhash64("v", "id"), "id").limit(min(PIVOTS, -(-n // BLOCK))).collect()
+    top = _Top(np.stack([np.pad(np.asarray(r["v"], np.int64), (0, width - len(r["v"]))) for r in held]), r2)
+    cells = staged(top.placed(rows, width), "cells")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"))
+    radius = np.full(len(held), np.nan)
+    known = sizes.collect()  # a row a cell, PIVOTS at most
+    for r in known:
+        radius[r["cell"]] = r["radius"]
+    blocks = df.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // BLOCK)) for r in known], "cell int, blocks long")
+    asked = rows.filter(F.col("id") % every == 0).select("id", "v", F.lit(float("inf")).alias("far"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    first = staged(_search(cells, top.routed(asked, width, radius, True), blocks, width, k).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank"), "first")
+    last = first.groupBy("query_id").agg(F.count("*").alias("found"), F.min("score").alias("least")).select(F.col("query_id").alias("id"), "found", "least")
+    own = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    far = F.when(F.col("found") >= k, F.sqrt(F.greatest(F.lit(0.0), own + F.lit(r2) - 2 * F.col("least").cast("double")))).otherwise(float("inf"))
+    again = staged(top.routed(asked.drop("far").join(last, "id", "left").select("id", "v", far.alias("far")), width, radius, False), "again")
+    found = first.unionByName(_search(cells, again, blocks, width, k))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score; see ``top_k`` for odd rows."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
