@@ -60,8 +60,9 @@ class _Section:
         point = next((i for i, t in enumerate(self.tokens) if t.kind == "."), len(self.tokens))
         left, right = self.tokens[:point], [t for t in self.tokens[point + 1 :] if t.kind != "."]
         places = _digits(right)
-        # Half away from zero, scaled in binary; as a decimal, so that great numbers keep their digits.
-        scaled = (F.abs(self.x) * float(10**places)).try_cast("decimal(38,0)").cast("string")
+        # Half away from zero, scaled in binary; as a decimal where a long can't hold it, so that great numbers keep their digits.
+        size = F.abs(self.x) * float(10**places)
+        scaled = F.when(size < 9e15, F.floor(size + 0.5).cast("string")).otherwise(size.try_cast("decimal(38,0)").cast("string"))
         scaled = F.lpad(scaled, F.greatest(F.length(scaled), F.lit(places + 1)), "0")
         whole = F.substring(scaled, F.lit(1), F.length(scaled) - places)
         head = self.left(left, whole)

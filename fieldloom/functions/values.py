@@ -64,8 +64,10 @@ def _size(exponent: Column) -> Column:
 
 
 def let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(x)`` with x computed once, however often it is used; plain columns are used as they are."""
-    if re.fullmatch(r"Column<'[\w `.]{1,80}'>", str(x)):
+    """``use(x)`` with x computed once, however often it is used. Columns, casts and short arithmetic are used as they are, as
+    lambdas aren't compiled to code."""
+    shown = str(x)
+    if len(shown) <= 90 and not re.search(r"[a-z_]\w*\(|CASE", shown):
         return use(x)
     return F.get(F.transform(F.array(x), use), 0)
 
