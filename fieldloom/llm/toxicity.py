@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldloom.llm.shared import free_name, without
@@ -89,39 +89,50 @@ class _Bags:
     def __init__(self, rows: list[tuple[str, int]]):
         self.parts = [sentences(t or "") for t, _ in rows]
         self.y = np.array([int(y) for _, y in rows], np.int64)
-        toxic: Counter[str] = Counter()
-        bags: dict[int, set[str]] = {}
-        for d in np.flatnonzero(self.y).tolist():
-            bags[d] = set().union(*map(features, self.parts[d]))
-            toxic.update(bags[d])
-        # A feature of fewer than two toxic documents can't be significant, so leaving it out changes nothing.
-        self.tested, self.names = len(toxic), sorted(f for f, n in toxic.items() if n > 1)
+        # Counted by hash first, as most features are of one document and their names needn't be held. One of so few toxic
+        # documents can't be significant, at any rate of one in all documents or more, so leaving it out changes nothing.
+        marked = [np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, set().union(*map(features, self.parts[d]))), np.uint64)) for d in np.flatnonzero(self.y)]
+        hashes, times = np.unique(np.concatenate(marked), return_counts=True) if marked else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.tested = len(hashes)
+        least = 1 + int(math.log(max(1, self.tested) / ALPHA) / math.log(max(2, len(self.y))))
+        often = set(hashes[times >= least].tolist())
+        self.names = sorted({f for d in np.flatnonzero(self.y) for s in self.parts[d] for f in features(s) if xxhash.xxh3_64_intdigest(f) in often})
         at = {f: i for i, f in enumerate(self.names)}
-        doc, feature = [], []
-        for d, parts in enumerate(self.parts):
-            held = [at[f] for f in at.keys() & (bags.get(d) or set().union(*map(features, parts)))]
-            doc.append(np.full(len(held), d, np.int32))
-            feature.append(np.array(held, np.int32))
-        self.doc, self.feature = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (doc, feature))
+        #: Features of document d are those from starts[d] to starts[d + 1].
+        held = [np.fromiter((at[f] for f in at.keys() & set().union(*map(features, parts))), np.int32) for parts in self.parts]
+        self.starts = np.cumsum([0, *map(len, held)])
+        self.feature = np.concatenate(held) if held else np.zeros(0, np.int32)
+
+    def of(self, d: int) -> np.ndarray:
+        return self.feature[self.starts[d] : self.starts[d + 1]]
+
+    def counts(self, docs: np.ndarray) -> np.ndarray:
+        """In how many of the documents each feature occurs."""
+        out = np.zeros(len(self.names), np.int64)
+        for d in docs.tolist():
+            out[self.of(d)] += 1
+        return out
 
     def evidence(self, used: np.ndarray) -> list[str]:
         """Features in the order in which they explain the toxic documents among the ``used`` ones. Of equal ones, as of
         the beginnings of one word, the longest is taken."""
-        keep = used[self.doc]
-        doc, feature = self.doc[keep], self.feature[keep]
         open_docs, chosen, n = used.copy(), [], len(self.names)
         size = np.array([len(f) for f in self.names], np.int64)
         need, every = math.log(max(1, self.tested) / ALPHA), self.y[used].mean()
-        first = (np.bincount(feature, self.y[doc], n), np.bincount(feature, minlength=n))
+        first = (self.counts(np.flatnonzero(used & (self.y == 1))), self.counts(np.flatnonzero(used)))
+        toxic, total = first[0].copy(), first[1].copy()
         while open_docs.any() and n:
-            left = open_docs[doc]
-            doc, feature = doc[left], feature[left]
-            gain = _gain(np.bincount(feature, self.y[doc], n), np.bincount(feature, minlength=n), self.y[open_docs].mean())
+            gain = _gain(toxic, total, self.y[open_docs].mean())
             if gain.max() <= need:
                 break
             best = _longest(gain, size)
             chosen.append(best)
-            open_docs[doc[feature == best]] = False
+            for d in np.flatnonzero(open_docs).tolist():
+                held = self.of(d)
+                if (held == best).any():
+                    open_docs[d] = False
+                    total[held] -= 1
+                    toxic[held] -= self.y[d]
         # Sentences of toxic documents without evidence yet; equal sentences of copies count once, and one for each document.
         likely = np.flatnonzero((_gain(*first, every) > need) & (2 * first[0] >= first[1]))
         at = {self.names[f]: i for i, f in enumerate(likely)}
@@ -189,13 +200,21 @@ def train(rows: list[tuple[str, int]]) -> Model:
 def threshold(rows: list[tuple[str, int]], folds: int = 3, most: float = 0.7) -> float:
     """The score, ``most`` at most, from which a document counts as toxic with the fewest errors on documents that the
     model hasn't seen: each fold of ``rows`` is scored by a model of the others. Of equal choices the highest."""
+    return _threshold(_Bags(rows), rows, folds, most)
+
+
+def train_with_threshold(rows: list[tuple[str, int]], folds: int = 3, most: float = 0.7) -> tuple[Model, float]:
     bags = _Bags(rows)
+    return bags.fit(np.ones(len(rows), bool)), _threshold(bags, rows, folds, most)
+
+
+def _threshold(bags: _Bags, rows: list[tuple[str, int]], folds: int, most: float) -> float:
     if len(rows) < folds or bags.y.min() == bags.y.max():
         return most
     fold, score = np.arange(len(rows)) % folds, np.zeros(len(rows))
     for k in range(folds):
         model = bags.fit(fold != k)
-        score[fold == k] = [model.score(t)[0] for t, _ in (rows[i] for i in np.flatnonzero(fold == k))]
+        score[fold == k] = [model.score(rows[i][0])[0] for i in np.flatnonzero(fold == k)]
     order = np.argsort(-score, kind="stable")
     s, gain = score[order], np.cumsum(np.where(bags.y[order] == 1, 1, -1))
     ends = np.flatnonzero(np.append(s[1:] < s[:-1], True))
