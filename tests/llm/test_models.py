@@ -1,6 +1,8 @@
 """Language, packing, search, toxicity, WARC, similarity join and BPE against brute force, round trips and held-out accuracy."""
 
+import gzip
 import hashlib
+import io
 import itertools
 import random
 import re
@@ -37,6 +39,45 @@ def test_language_odd_rows(spark, odd):
     assert langid.identify(odd.limit(0), {"en": "word"}).collect() == [] and {r.lang_pred for r in langid.identify(odd, {}).collect()} == {"und"}
 
 
+def test_phrases_are_the_longest_matches():
+    """Against a parser that looks for each longest match, on texts of many lengths with characters the samples lack."""
+
+    def naive(text, sample):
+        text, sample = ("".join(map(chr, langid.normal(t))) for t in (text, sample))
+        n = i = 0
+        while i < len(text):
+            k = 1
+            while i + k <= len(text) and text[i : i + k] in sample:
+                k += 1
+            i, n = i + max(1, k - 1), n + 1
+        return n
+
+    rng = random.Random(4)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(60):
+        samples = {k: pick("abcd ", rng.randint(1, 60)) for k in "xyz"}
+        texts = [pick("abcde ", rng.randint(0, 3000)) for _ in range(rng.randint(1, 14))]
+        parser = langid.Parser(samples)
+        got = parser.phrases([parser.code[langid.normal(t)] for t in texts])
+        assert got.tolist() == [[naive(t, samples[k]) for k in parser.langs] for t in texts]
+    # One phrase over several segments, whose parses never meet before the text's end.
+    parser = langid.Parser({"x": "ab" * 2000, "y": "ba"})
+    assert parser.phrases([parser.code[langid.normal("ab" * 1500 + "b" + "ba" * 700)]]).tolist() == [[naive("ab" * 1500 + "b" + "ba" * 700, s) for s in ("ab" * 2000, "ba")]]
+    parser = langid.Parser({"de": "der hund und die katze", "en": "under the order of the cat"})
+    assert parser.phrases([parser.code[langid.normal(t)] for t in ("der", "der q hund")]).tolist() == [[1, 1], [3, 5]]
+
+
+def test_language_tie_scores_half(spark):
+    got = langid.identify(spark.createDataFrame([("der",)], "text string"), {"de": "der hund und die katze", "en": "under the order of the cat"}).first()
+    assert (got.lang_pred, got.score) == ("de", 0.5)
+
+
+def test_clashing_names_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7, 8)], "Doc_ID long, text string, SCORE int, Lang_Pred int, _judged int, _TOLD int")
+    assert langid.identify(df, {"en": "a b"}).select("score", "lang_pred", "_told", "_judged").collect() == [(1.0, "en", 8, 7)]
+    assert toxicity.score_documents(df, toxicity.train([])).select("score", "lang_pred").collect() == [(0.0, 6)]
+
+
 def test_language_with_one_labelled_word_wins_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     samples = langid.learn_samples(docs.filter(~langid.held_out()))
@@ -65,8 +106,18 @@ def test_packing_is_optimal_across_fine_lengths(spark):
     cost = lambda cuts: sum(c * min(x for x in cuts if x >= n) for n, c in zip(lengths, counts, strict=True))
     best = min(cost([*c, lengths[-1]]) for k in range(4) for c in itertools.combinations(lengths[:-1], k))
     assert len(out) == len(texts) and sum(r.bucket_tokens for r in out) == best
-    one = spark.range(0, 9000).select(packing.length_bin(packing.F.col("id")).alias("b"), "id").groupBy("b").agg(packing.F.min("id").alias("lo"), packing.F.max("id").alias("hi"))
-    assert all(r.lo == r.hi if r.lo <= 1024 else r.hi - r.lo < r.lo / 256 for r in one.collect())
+
+
+def test_packing_of_a_whole_table_has_the_least_padding(spark):
+    """Against a quadratic programme over all different lengths of the table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = packing.pack(docs, buckets=16).collect()
+    lengths, counts = np.unique([len((r.text or "").split()) for r in docs.select("text").collect()], return_counts=True)
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    best = lengths * upto[1:]
+    for _ in range(15):
+        best = np.array([min(best[j], *(best[:j] + lengths[j] * (upto[j + 1] - upto[1 : j + 1]))) if j else best[0] for j in range(len(lengths))])
+    assert len(out) == upto[-1] and sum(r.bucket_tokens for r in out if r.n_tokens or r.bucket_tokens > 1) == best[-1]
 
 
 def test_packing_whole_and_within_budget(spark, odd):
@@ -91,6 +142,28 @@ def test_top_k_is_exact(spark):
     assert set(got) == set(range(0, 760, 50)) and mtree.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_over_many_cells(spark, monkeypatch):
+    """Small blocks make many cells and blocks; half of the rows are equal, rows and queries are repeated, some are short."""
+    monkeypatch.setattr(mtree, "BLOCK", 40)
+    monkeypatch.setattr(mtree, "QUERIES", 3)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 6)) * 4
+    vectors = (centres[rng.integers(0, 9, 400)] + rng.normal(size=(400, 6)) * 0.1).round(2).tolist() + [[0.5] * 6] * 400
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(3, vectors[3])] * 3 + [(100, vectors[100])] * 2 + [(900, [1.0]), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in mtree.top_k(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ids = np.array([i for i, _ in rows if i is not None])
+    x = np.array([np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 6 - len(v))) for i, v in rows if i is not None])
+    for q in {i for i in ids.tolist() if i % 50 == 0}:
+        score = x @ x[ids.tolist().index(q)]
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:5]
+        assert sorted(got[q]) == [(k + 1, ids[i], score[i]) for k, i in enumerate(order)]
+    with pytest.raises(ValueError):
+        mtree.top_k(spark.createDataFrame([(1, [1e9])], "vec_id long, embedding array<double>"))
+
+
 def test_toxic_sentences_are_found(spark, odd):
     rows = [(f"plain words here {i}. more of it {i % 7}. the end", 0) for i in range(150)] + [(f"plain words {i}. you idiot {i}. the end", 1) for i in range(100)]
     model = toxicity.train(rows)
@@ -113,6 +186,19 @@ def test_plain_insults_held_out_score_high():
     assert np.mean(np.array(clean) >= 0.7) < 0.005
 
 
+def test_stems_that_only_inflected_forms_share_are_evidence():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(6))
+    plain = lambda: " ".join(word() for _ in range(8))
+    rows = [(f"{plain()}. {plain()}.", 0) for _ in range(300)] + [(f"{plain()}. {plain()} vequ{word()} {plain()}.", 1) for _ in range(60)]
+    model = toxicity.train(rows)
+    score, found = model.score(f"{plain()}. oh vequnewform here. {plain()}")
+    assert score >= 0.7 and [i for i, _, _ in found] == [1] and model.score(plain())[0] < 0.1
+    # A long text isn't toxic for its length, and one class alone teaches nothing.
+    assert model.score(". ".join(plain() for _ in range(20_000)))[0] < 0.1
+    assert toxicity.train([("plain text here", 1)] * 9).score("plain text here")[0] == 0.0
+
+
 def test_threshold_comes_from_unseen_documents():
     rows = [(f"plain words here {i}. more of it {i % 7}. the end", 0) for i in range(150)] + [(f"plain words {i}. you idiot {i}. the end", 1) for i in range(100)]
     model, at = toxicity.train(rows), toxicity.threshold(rows)
@@ -129,6 +215,38 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(df.limit(0)).collect() == []
 
 
+def test_inflation_is_bounded_and_whole():
+    raw = b"a" * 50_000_000 + bytes(range(256))
+    packed = gzip.compress(raw) + gzip.compress(b"second")
+    pieces = list(warc.inflate(io.BytesIO(packed)))
+    assert b"".join(pieces) == raw + b"second" and max(map(len, pieces)) <= warc._CHUNK
+    for cut in (1, 8, 20):
+        with pytest.raises(ValueError):
+            list(warc.inflate(io.BytesIO(packed[:-cut])))
+
+
+def test_jaccard_join_of_a_table_against_sets_of_words(spark):
+    """Another brute force: sets of word tuples, so that neither hashing nor shingling is shared. With odd rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(None, "one two three four five six"), (None, "One, two three four five SIX!"), (10**6, "one two three four five six"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, "..."), (10**6 + 3, "word " * 30_000), (10**6 + 3, "word " * 30_000)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + odd
+    got = setjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+    def tuples(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        return frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [tuples(t) for _, t in rows]
+    ids = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        if s:
+            ids[s] = min((x for x in (ids.get(s), i) if x is not None), default=None)
+    links = {s: sum(a != s and len(a & s) >= 0.8 * len(a | s) for a in ids) for s in ids}
+    want = [(i, ids[s], links[s], len(s)) if s else (i, i, 0, 0) for (i, _), s in zip(rows, sets, strict=True)]
+    assert sorted(((r.doc_id, r.class_id, r.links, r.n_shingles) for r in got), key=repr) == sorted(want, key=repr) and sum(links.values()) > 0
+    assert setjoin.jaccard_join(docs.limit(0)).collect() == []
+
+
 def test_jaccard_join_against_all_pairs(spark):
     rng = random.Random(5)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(120)] for _ in range(25)]
@@ -189,3 +307,16 @@ def test_bpe_like_tiktoken(spark, odd):
     for r, (_, t) in zip(bpe.encode_documents(odd, path, public_tokenizers.PATTERN).collect(), ODD, strict=True):
         ids = other.encode_ordinary(t or "")
         assert (r.n_tokens, list(r.ids), r.decoded_sha256) == (len(ids), ids, hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_bpe_of_a_table_like_tiktoken(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = other.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op10_bpe(spark, SF).collect()} == want
+    assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), path, public_tokenizers.PATTERN).collect() == []
