@@ -154,6 +154,16 @@ def _numeric_picture(x: Column, picture: str, culture: Culture, items: Mapping[s
     return F.when(x.isNotNull(), out)
 
 
+def as_printed(x: Column, places: int, picture: Column) -> Column:
+    """``picture`` (grouped, ``places`` digits behind the point), but as SQL's ``format`` and C's printf show it where they
+    differ: halves, the sign of a zero, great numbers, NaN and infinity. From 2^63 on digits behind the 17th are zeros."""
+    size = F.abs(x) * float(10**places)
+    clear = (F.abs(size - F.floor(size) - 0.5) > 1e-6 * (1 + size / 1e6)) & (size < 9e9) & (size >= 0.5)
+    whole = F.when((F.abs(x) >= 2.0**53) & (F.abs(x) < 2.0**63), F.format_number(x.cast("long"), places)).otherwise(F.format_number(x, places))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(whole)
+    return F.when(clear & (x > 0), picture).otherwise(odd)
+
+
 # ---- date pictures
 
 #: Runs of a letter that are fields of a date; other runs are literal.

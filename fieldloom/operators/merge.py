@@ -25,13 +25,13 @@ ROWS_PER_RANGE = 200_000
 
 
 def ordered(df: DataFrame, key: str, name: str = "mergerec", rows_per_range: int = ROWS_PER_RANGE, kept: Column | None = None, kept_name: str = "mergeseq") -> DataFrame:
-    """Adds the 1-based position by ``key`` (unique, not null), and with ``kept`` the position among the rows it holds for."""
+    """Adds the 1-based position by ``key`` (unique; a null one is last), and with ``kept`` the position among the rows it holds for."""
     flags = df if kept is None else df.withColumn("_kept", F.coalesce(kept, F.lit(False)).cast("long"))
     count = flags.count()
     ranges = max(1, min(4096, count // rows_per_range))
     extra = [] if kept is None else [(F.sum("_kept"), "_kept", kept_name)]
     if ranges == 1:
-        w = Window.orderBy(key)
+        w = Window.orderBy(F.col(key).asc_nulls_last())
         out = flags.withColumn(name, F.row_number().over(w).cast("long"))
         if extra:
             out = out.withColumn(kept_name, F.sum("_kept").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_kept")
@@ -40,11 +40,11 @@ def ordered(df: DataFrame, key: str, name: str = "mergerec", rows_per_range: int
     bits = range(len(cuts).bit_length() - 1, -1, -1)
     table = F.lit(cuts)
     below = F.aggregate(F.array(*(F.lit(1 << b) for b in bits)), F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(table, F.least(at + step, F.lit(len(cuts))) - 1) < F.col(key)), at + step).otherwise(at))
-    held = flags.withColumn("_range", below)
+    held = flags.withColumn("_range", F.when(F.col(key).isNull(), len(cuts)).otherwise(below))
     along = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = held.groupBy("_range").agg(F.count("*").alias("_n"), *(a.alias(f"_s{i}") for i, (a, _, _) in enumerate(extra)))
     sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_base"), *(F.coalesce(F.sum(f"_s{i}").over(along), F.lit(0)).alias(f"_base{i}") for i in range(len(extra))))
-    inside = Window.partitionBy("_range").orderBy(key)
+    inside = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_last())
     out = held.withColumn("_at", F.row_number().over(inside))
     for _, source, to in extra:
         out = out.withColumn(f"_at_{to}", F.sum(source).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
