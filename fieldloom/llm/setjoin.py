@@ -5,9 +5,10 @@ embedded by MinHash into a fixed number of tokens, two sets sharing a token with
 similarity. Sets with equal tokens go the same way everywhere, so one of them goes for all, and the others are connected
 to it. A run splits the sets recursively: every node samples one or two of the token positions (1 / threshold on
 average) and a set goes to the child of each token it has there, so a pair at the threshold is expected to stay together
-once a level. Nodes with few sets are compared by brute force. A larger one is settled if all its sets are like one of two
-of them that are like each other, as in a family of near copies; the others are split further, down to ``DEEPEST``. What is
-still large there is compared block by block.
+once a level. Nodes with few sets are compared by brute force. In a larger one each set is compared with two of them: those
+like the first, or the second, or either if the two are like each other, are connected, as in a family of near copies. If at
+most ``REST`` sets remain, each of them is compared with every set of the node, which settles it. Nodes with more are split
+further, down to ``DEEPEST``. What is still large there is compared block by block.
 
 Independent runs are repeated until the target recall holds. A pair survives fewer levels the deeper its nodes are split,
 so the number of runs follows from the depth (``runs_for``): sets that were in a large node of some run, and no others,
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fieldloom.llm.shared import discard, staged
 
 WORDS, SIMILAR = 5, 0.8
-TOKENS, RUNS, FIRST, DEEPEST, SMALL, BLOCK = 64, 8, 3, 9, 64, 512
+TOKENS, RUNS, FIRST, DEEPEST, SMALL, BLOCK, REST = 64, 8, 3, 9, 64, 512, 512
 #: Words whose hashes a worker remembers, and edges that a task reduces to a forest.
 MEMO, EDGES = 100_000, 1_000_000
 #: Shingles that a block of sets holds at most or so.
@@ -231,6 +232,27 @@ def _likely_small(df: DataFrame) -> DataFrame:
     return lists.mapInArrow(work, "u long, v long")
 
 
+def _likely_rest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Connecting edges of the likely pairs between the remaining sets of a node (``left``) and all sets of a block of it."""
+    pdf = pdf.sort_values("id")
+    ids, sig, left = pdf["id"].to_numpy(), np.stack([np.frombuffer(s, "<u4") for s in pdf["sig"]]), np.flatnonzero(pdf["left"])
+    agree = np.zeros((len(left), len(ids)), np.int16)
+    for i in range(TOKENS):
+        agree += sig[left, i, None] == sig[None, :, i]
+    agree[np.arange(len(left)), left] = 0
+    u, v = np.nonzero(agree >= _LEAST)
+    edges = _forest(len(ids), left[u], v)
+    return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["u", "v"]).astype("int64")
+
+
+def _rest_pairs(df: DataFrame) -> DataFrame:
+    """Edges of nodes (node, id, sig, left, n_group) with few sets marked ``left``, which go to each block of their node."""
+    blocks = F.ceil(F.col("n_group") / (8.0 * BLOCK)).cast("long")
+    own = F.array(F.pmod(F.xxhash64("id"), blocks))
+    dealt = df.withColumn("block", F.explode(F.when(F.col("left"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own)))
+    return dealt.select("node", "block", "id", "sig", "left").groupBy("node", "block").applyInPandas(_likely_rest, "u long, v long")
+
+
 def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
     """For a pair of blocks of a group: links of each member across the pair, and spanning edges (rows with a null)."""
     pdf = pdf.sort_values("id")
@@ -348,15 +370,20 @@ def _candidates(reps: DataFrame, same: DataFrame, target: float) -> DataFrame:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n_group"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n_group > 1")
         few = nodes.join(sizes.filter(f"n_group <= {SMALL}"), "node").join(reps, "id").select("node", "id", "sig")
         judged = compared(nodes, sizes.filter(f"n_group > {SMALL}"), f"pivots-{depth}")
-        got = _likely_small(few).union(stars(judged))
-        # A node is settled if its pivots are alike (so each has both bits) and every member is like one of them.
-        state = judged.groupBy("node").agg(F.count("*").alias("n_group"), (F.max(F.when(F.col("id") == F.col("lo"), F.col("near"))) == 3).alias("one"), (F.min("near") > 0).alias("all"))
-        open_nodes = state.filter("NOT (one AND all)").select("node", "n_group")
-        large = judged.select("node", "id").join(open_nodes, "node")
+        # The sets like a pivot are connected to it, and all are if the pivots are alike (so each has both bits).
+        apart = [F.sum((F.col("near").bitwiseAND(bit) == 0).cast("long")) for bit in (1, 2, 3)]
+        one = F.max(F.when(F.col("id") == F.col("lo"), F.col("near"))) == 3
+        state = judged.groupBy("node").agg(F.count("*").alias("n_group"), one.alias("one"), *(x.alias(f"apart_{bit}") for bit, x in zip((1, 2, 3), apart, strict=True)))
+        state = state.withColumn("side", F.when(F.col("one"), 3).when(F.col("apart_1") <= F.col("apart_2"), 1).otherwise(2))
+        state = staged(state.withColumn("rest", F.when(F.col("one"), F.col("apart_3")).otherwise(F.least("apart_1", "apart_2"))).select("node", "n_group", "side", "rest"), f"states-{depth}")
+        nearly = judged.select("node", "id", "near").join(state.filter(f"rest BETWEEN 1 AND {REST}"), "node")
+        nearly = nearly.withColumn("left", F.col("near").bitwiseAND(F.col("side")) == 0).join(reps, "id")
+        got = _likely_small(few).union(stars(judged)).union(_rest_pairs(nearly.select("node", "id", "sig", "left", "n_group")))
+        large = judged.select("node", "id").join(state.filter(f"rest > {REST}").select("node", "n_group"), "node")
         if depth == DEEPEST:
             blocks = _block_pairs(large.join(reps, "id"), "node", BLOCK)
             found.append(staged(got.union(blocks.groupBy("node", "lo", "hi").applyInPandas(_likely, "u long, v long")).distinct(), f"edges-{depth}"))
-            discard(nodes, judged)
+            discard(nodes, judged, state)
             break
         found.append(staged(got.distinct(), f"edges-{depth}"))
         below = _descend(large.join(reps, "id").select("node", "id", "sig"))
@@ -364,7 +391,7 @@ def _candidates(reps: DataFrame, same: DataFrame, target: float) -> DataFrame:
             below = below.union(_descend(large.select("id").distinct().join(reps, "id").select("id", "sig"), depth + 1, range(runs, more)))
             runs = more
         deeper = staged(below.distinct(), f"nodes-{depth}")
-        discard(nodes, judged)
+        discard(nodes, judged, state)
         nodes = deeper
         if nodes.isEmpty():
             discard(nodes)
